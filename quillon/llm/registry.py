@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, rules, sharding
+from quillon.llm import lm, mixing, pieces, quality, rules, sharding, toxicity
+
+
+OPERATORS = (quality.op1_quality_classifier, mixing.op2_mix_sources, lm.op3_lm_scoring, toxicity.op6_toxicity, sharding.op8_shard_documents, rules.op9_quality_rules, pieces.op10_sentencepiece)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op2_mix_sources, sharding.op8_shard_documents, rules.op9_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
