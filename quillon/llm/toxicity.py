@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): the thresholds are ordered, the weights are shared. x marks
-which words of a selected vocabulary a text has. The model gives the expected severity, the sum over k
+which words, and beginnings of words, of a selected vocabulary a text has. The model gives the expected severity, the sum over k
 of P(grade > k).
 
 Where labels only say toxic or not, grades above 0 come from the labelled texts themselves: words that
@@ -22,7 +22,9 @@ from quillon.llm.common import staged, table
 from quillon.llm.labelled import bounded_ids, held_out, texts_of, training_labels
 
 #: Bounds of a fit: texts of each label, and words of the vocabulary.
-MAX_TEXTS, MAX_WORDS, MIN_TEXTS = 6144, 768, 4
+MAX_TEXTS, MAX_WORDS, MIN_TEXTS = 4096, 1024, 4
+#: Bytes of the beginnings of longer words that are features as well.
+BEGINNINGS = (4, 5, 6, 8)
 FORM = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A or 0x30 <= c <= 0x39 else 0x20 for c in range(256))
 
 
@@ -31,7 +33,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FORM).split()
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+def features_of(words: list[bytes]) -> set[bytes]:
+    """Distinct words, and beginnings marked by ^."""
+    once = set(words)
+    out = set(once)
+    for k in BEGINNINGS:
+        out.update([b"^" + w[:k] for w in once if len(w) > k])
+    return out
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 500, rate: float = 0.05, decay: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ordered thresholds) by maximum likelihood with an L2 penalty, through Adam.
 
     Thresholds are t0 and t0 plus sums of exponentials, so they stay in order.
@@ -42,7 +53,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400,
     m, v = np.zeros_like(free), np.zeros_like(free)
     for t in range(1, steps + 1):
         w, cut = free[:d], free[d] + np.concatenate([[0.0], np.cumsum(np.exp(free[d + 1 :]))])
-        z = x @ w
+        z = (x @ w.astype(x.dtype)).astype(float)
         upper = np.append(sig(cut[None, :] - z[:, None]), np.ones((n, 1)), axis=1)
         lower = np.append(np.zeros((n, 1)), upper[:, :-1], axis=1)
         at = (np.arange(n), grade)
@@ -52,7 +63,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400,
         gz = (du - dl) / p / n  # of the loss by z
         g_cut = np.array([-(du / p)[grade == k].sum() + (dl / p)[grade == k + 1].sum() for k in range(grades - 1)]) / n
         steps_up = np.exp(free[d + 1 :])
-        g = np.concatenate([x.T @ gz + decay * w, [g_cut.sum()], [g_cut[j + 1 :].sum() * steps_up[j] for j in range(grades - 2)]])
+        g = np.concatenate([(gz.astype(x.dtype) @ x).astype(float) + decay * w, [g_cut.sum()], [g_cut[j + 1 :].sum() * steps_up[j] for j in range(grades - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         free -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return free[:d], free[d] + np.concatenate([[0.0], np.cumsum(np.exp(free[d + 1 :]))])
@@ -78,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [words_of(t.as_py()) for t in b.column(1)]
-            once = [sorted({w.decode("utf-8", "replace") for w in x}) for x in found]
+            once = [sorted(w.decode("latin-1") for w in features_of(x)) for x in found]  # any bytes have a name
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int32()), pa.array(once, pa.list_(pa.string()))], ["y", "n", "words"])
 
     rows = staged(texts_of(docs, ids, id_col, text_col).select("y", "text").mapInArrow(split, "y int, n int, words array<string>"), "toxicity-texts")
@@ -103,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     w, cut = fit_ordinal(x, grade, grades or 4)
     odds = lambda bad, good: np.log(max(1, bad) / max(1, good))  # noqa: E731  from the sample's shares to the labels'
     cut = cut + odds(sums.bad, sums.n - sums.bad) - odds(totals.get(True, 0), totals.get(False, 0))
-    return {"vocab": {k.encode(): i for k, i in place.items()}, "w": w, "cut": cut}
+    return {"vocab": {k.encode("latin-1"): i for k, i in place.items()}, "w": w, "cut": cut}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,7 +128,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.array([sum(w[vocab[t]] for t in vocab.keys() & set(words_of(x.as_py()))) for x in b.column(1)], float)
+            z = np.array([sum(w[vocab[t]] for t in vocab.keys() & features_of(words_of(x.as_py()))) for x in b.column(1)], float)
             above = 1 / (1 + np.exp(-np.clip(z[:, None] - cut[None, :], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], [id_col, "severity", "p_toxic", "toxic"])
 
