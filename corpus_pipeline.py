@@ -1,8 +1,79 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Null and empty texts go in the first stage; empty tables pass through; rows that repeat are
+near-duplicates of each other. Stages cut lineage by written tables in the cluster's shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import jaccard, mixing, pieces, quality, suffixes
+from quillon.llm.common import WORD, staged, table, tasks
+
+#: Near-duplicates of the pipeline: words of a shingle, and least similarity in percent.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fit on docs and the labels of its training rows, accepts."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep_row=True).filter(F.col("score") >= quality.THRESHOLD).select("row.*")
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similar shingle sets hold together, the one of the least id.
+
+    Rows without an id stay unless a document with an id reaches them.
+    """
+    found = jaccard.jaccard_components(docs, width=SHINGLE, percent=PERCENT)
+    ids = found.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if found.filter("doc_id is null and component_id is null").isEmpty():
+        return kept.select(docs.columns)
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that occur elsewhere too; those left without a word go."""
+    done = suffixes.remove_repeats(docs, keep_text=True).filter(F.col("kept_text").rlike(WORD))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, by shard and in the shard's order. A document that meets
+    its source's target in the middle ends after the words that the mix takes."""
+    mixed = mixing.mix(docs, keep=tuple(docs.columns)).select("kept", "size", F.explode("draws").alias("draw"))
+    words = F.filter(F.split(F.col("kept.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("kept.text"))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    cut = mixed.withColumn("cut", text).repartition(tasks(spark), "draw.shard").sortWithinPartitions("draw.shard", "draw.place")
+    return cut.select(*[new[c].alias(c) if c in new else F.col("kept")[c].alias(c) for c in docs.columns])
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and round_trip of every document of the mix."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Classifiers, suffix sorting and piece ids aren't expressible in SQL; tests hold stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each reading what the one before wrote."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

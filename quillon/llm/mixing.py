@@ -132,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = F.col("source").eqNullSafe(F.col("p_source"))
     rows = rows.join(plan_df.select("p_source", "buckets"), same, "left").drop("p_source").withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 16), F.col("buckets")))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("words").over(by_source.partitionBy("source")), F.lit(0)).alias("start"))
+    starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select(F.col("source").alias("s_source"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("words").over(by_source), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket")), "left")
