@@ -16,7 +16,9 @@ from __future__ import annotations
 import re
 import sys
 import types
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,9 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 KEY = 16  # bytes of a suffix that are sorted; pieces that are longer compare their rest
 CHUNK_CHARS = 1 << 21  # characters of text whose units are held at a time
-MEMO_UNITS = 400_000  # units a worker remembers; it forgets all when full
+MEMO_UNITS = 200_000  # units met again that a worker remembers; it forgets all when full
 MEMO_PAIRS = 1_000_000
+TABLE_BITS = 20
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BREAK = b"\xfe"
 
@@ -56,7 +59,8 @@ def load(path: str = MODEL) -> dict:
 
 class Encoder:
     def __init__(self, model: dict) -> None:
-        self.model, self.units, self.pairs = model, {"": b""}, {}
+        self.model, self.units, self.pairs = model, {}, {}
+        self.table = np.full(1 << TABLE_BITS, -1, np.int64)
         pieces = sorted(model["pieces"].items(), key=lambda x: len(x[0].encode()))
         raw = [p.encode() for p, _ in pieces]
         self.raw = dict(zip((i for _, i in pieces), (p for p, _ in pieces), strict=True))
@@ -85,7 +89,7 @@ class Encoder:
         return found
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of every occurrence of every piece, by end, longest first; piece -1: a character that is none."""
+        """(start, end, piece) of every occurrence of every piece; piece -1: a character that is none."""
         data = np.frombuffer(text + bytes(KEY), np.uint8)
         starts = np.flatnonzero(((data[:-KEY] & 0xC0) != 0x80) & (data[:-KEY] != BREAK[0]))
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, KEY)[starts])
@@ -105,40 +109,71 @@ class Encoder:
                     good[j] = text[start[j] : start[j] + len(x)] == x
             start, which = start[good], which[good]
         end, piece = start + self.sizes[which], self.ids[which]
-        width = np.diff(np.append(np.flatnonzero((data[: len(text)] & 0xC0) != 0x80), len(text)))
+        bounds = np.append(np.flatnonzero((data[: len(text)] & 0xC0) != 0x80), len(text))
         widths = np.zeros(len(text) + 1, np.int64)
-        widths[np.flatnonzero((data[: len(text)] & 0xC0) != 0x80)] = width
+        widths[bounds[:-1]] = np.diff(bounds)
         alone = np.zeros(len(text) + 1, bool)
         alone[start[end - start == widths[start]]] = True
         odd = starts[~alone[starts]]
-        start, end, piece = np.append(start, odd), np.append(end, odd + widths[odd]), np.append(piece, np.full(len(odd), -1))
-        order = np.argsort(end * 64 + 63 - np.minimum(63, end - start), kind="stable")
-        return start[order], end[order], piece[order]
-
-    def learn(self, units: list[str]) -> None:
-        """Encodes units and remembers them."""
+        return np.append(start, odd), np.append(end, odd + widths[odd]), np.append(piece, np.full(len(odd), -1))
+
+    def beside_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """beside() of arrays of pieces: first by a table that a pair's hash indexes, then one by one."""
+        key = a.astype(np.int64) << 32 | b
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        miss = np.flatnonzero(self.table[at] >> 1 != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            value = np.array([self.beside(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()])
+            self.table[at[miss]] = key[miss] << 1 | value[back]
+            out = (self.table[at] & 1).astype(bool)
+            out[miss] = value[back]
+            # a pair that shared its place with a missed one was overwritten, not looked up
+            lost = np.flatnonzero(self.table[at] >> 1 != key)
+            for i in lost.tolist():
+                out[i] = self.beside(int(a[i]), int(b[i]))
+            return out
+        return (self.table[at] & 1).astype(bool)
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as bytes. All units are relaxed together, one end position after another."""
         raw = [u.encode("utf-8", "replace") for u in units]
         text = BREAK.join(raw)
-        begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
-        last: list[int | None] = [None] * (len(text) + 1)
-        back = [0] * (len(text) + 1)
-        for b in begins[:-1].tolist():
-            last[b] = -2
-        pairs, beside = self.pairs, self.beside
-        for s, e, p in zip(*(x.tolist() for x in self.edges(text)), strict=True):
-            if last[e] is None and (q := last[s]) is not None:
-                if q < 0 or p < 0 or (pairs[q, p] if (q, p) in pairs else beside(q, p)):
-                    last[e], back[e] = p, s
+        sizes = np.array([len(x) for x in raw])
+        begins = np.cumsum(np.append(0, sizes[:-1] + 1))
+        start, end, piece = self.edges(text)
+        depth = end - np.repeat(begins, sizes + 1)[start]
+        order = np.argsort(depth.astype(np.uint16) if depth.max() < 65536 else depth, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        bounds = np.append(np.flatnonzero(np.diff(depth[order], prepend=-1)), len(order))
+        last, back = np.full(len(text) + 1, -3, np.int32), np.zeros(len(text) + 1, np.int64)
+        last[begins] = -2
+        for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            q, p = last[start[i:j]], piece[i:j]
+            good = (q > -3) & ((q < 0) | (p < 0))
+            if len(ask := np.flatnonzero((q >= 0) & (p >= 0))):
+                good[ask] = self.beside_all(q[ask], p[ask])
+            e = end[i:j][good]
+            last[e], back[e] = p[good], start[i:j][good]
+        chosen, at = np.zeros(len(text) + 1, bool), begins + sizes
+        low = begins
+        while len(at):
+            chosen[at] = True
+            at = back[at]
+            more = at > low
+            at, low = at[more], low[more]
+        ends = np.flatnonzero(chosen)
+        ids, of = last[ends].astype(np.int32), np.searchsorted(ends, begins, "right")
+        cuts = np.append(of, len(ends)).tolist()
+        flat = ids.tobytes()
+        out = [flat[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:], strict=False)]
         byte_id, unk = self.model["byte_id"], self.model["unk"]
-        for unit, begin, one in zip(units, begins.tolist(), raw, strict=False):
-            at, found = begin + len(one), []
-            while at > begin:
-                if (p := last[at]) >= 0:
-                    found.append(p)
-                else:
-                    found += [byte_id.get(x, unk) for x in reversed(text[back[at] : at])]
-                at = back[at]
-            self.units[unit] = np.array(found[::-1], np.int32).tobytes()
+        for k in np.unique(np.searchsorted(of, np.flatnonzero(ids < 0), "right") - 1).tolist():  # units with characters that are no pieces
+            found: list[int] = []
+            for e in ends[cuts[k] : cuts[k + 1]].tolist():
+                found += [int(last[e])] if last[e] >= 0 else [byte_id.get(x, unk) for x in text[back[e] : e]]
+            out[k] = np.array(found, np.int32).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text; few texts at a time are held as units."""
@@ -148,18 +183,20 @@ class Encoder:
 
         def flush() -> None:
             nonlocal size
-            if len(self.units) > MEMO_UNITS:
-                self.units.clear()
-            new = list({u for units in held for u in units} - self.units.keys())
-            at = 0
+            times = Counter(chain.from_iterable(held))
+            new, now, at = [u for u in times if u not in self.units], {}, 0
             while at < len(new):  # a bounded part at a time, or one unit
                 end, chars = at, 0
                 while end < len(new) and (end == at or chars + len(new[end]) < CHUNK_CHARS // 2):
                     chars += len(new[end])
                     end += 1
-                self.learn(new[at:end])
+                now.update(zip(new[at:end], self.learn(new[at:end]), strict=True))
                 at = end
-            out.extend(np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32) for units in held)
+            known = now | {u: self.units[u] for u in times if u in self.units}
+            out.extend(np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in held)
+            if len(self.units) > MEMO_UNITS:
+                self.units.clear()
+            self.units.update((u, x) for u, x in now.items() if times[u] > 1)
             held.clear()
             size = 0
 
