@@ -218,14 +218,15 @@ def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v")).mapInArrow(_units, "id long, label string, unit binary").filter("unit is not null and label is not null and id is not null")
     queries = rows.filter(F.col("id") % every == 0).withColumn("block", F.floor(F.row_number().over(Window.orderBy("id")) / 1024)).toPandas()
     parts = []
-    for _, q in queries.groupby("block"):
+    for _, q in queries.groupby(["block", queries.unit.map(len)]):
         ids, labels, units = q.id.to_numpy(), q.label.to_numpy(), np.stack([np.frombuffer(u, np.float64) for u in q.unit])
 
         def compare(batches, ids=ids, labels=labels, units=units):
             for b in batches:
                 n = np.zeros(len(ids), np.int64)
                 for i, label, unit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                    n += (labels == label) & (ids != i) & (units @ np.frombuffer(unit.as_py(), np.float64) >= threshold)
+                    if len(unit.as_py()) == 8 * units.shape[1]:
+                        n += (labels == label) & (ids != i) & (units @ np.frombuffer(unit.as_py(), np.float64) >= threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
         parts.append(rows.mapInArrow(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
