@@ -7,6 +7,7 @@ entities. Decimal outputs are shown as doubles of four decimals on both sides.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,7 +166,7 @@ def grouped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _small(spark: SparkSession, sf_dir: str) -> Database:
     """A writable copy of nation and region in a store of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    db = Database(spark, f"{shared.rstrip('/')}/quillon-store-{id(object())}-{spark.sparkContext.applicationId}" if shared else "file://" + tempfile.mkdtemp(prefix="quillon-"))
+    db = Database(spark, f"{shared.rstrip('/')}/quillon-store-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="quillon-"))
     db.create(EntitySchema("Region", (FieldSpec("id", "int32"), FieldSpec("name", "text", max_len=40)), ("id",)))
     db.create(EntitySchema("Nation", (FieldSpec("id", "int32"), FieldSpec("name", "text"), FieldSpec("region", "int32", relation="Region"), FieldSpec("note", "text", True, default="new", has_default=True)), ("id",)))
     db.insert_frame("Region", spark.read.parquet(f"{sf_dir}/region.parquet").toDF("id", "name"))
