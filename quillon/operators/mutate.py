@@ -10,6 +10,7 @@ import datetime as dt
 import os
 import time
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -76,12 +77,29 @@ def violations(schema: EntitySchema, checks: list) -> list[tuple[str, Column]]:
     return out + [(f"check {k.name}", ~boolean(check_expression(k.expr), scope)) for k in checks]
 
 
+def broken(df: DataFrame, rules: list[tuple[str, Column]]) -> list[DataFrame]:
+    """Problems (code, what) of rows that break row-local rules."""
+    if not rules:
+        return []
+    what = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules])
+    return [df.select(F.lit("constraint").alias("code"), what.alias("what")).filter("what is not null")]
+
+
+def problem(df: DataFrame, code: str, what: str) -> DataFrame:
+    """A problem for each row of df."""
+    return df.select(F.lit(code).alias("code"), F.lit(what).alias("what"))
+
+
+def settle(problems: list[DataFrame]) -> None:
+    """Refuses if there is any problem. All checks run as one job."""
+    if problems:
+        found = reduce(DataFrame.unionByName, problems).limit(1).collect()
+        if found:
+            refuse(found[0].code, found[0].what)
+
+
 def enforce(df: DataFrame, rules: list[tuple[str, Column]]) -> None:
-    if rules:
-        what = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules])
-        bad = df.select(what.alias("what")).filter("what is not null").limit(1).collect()
-        if bad:
-            refuse("constraint", bad[0].what)
+    settle(broken(df, rules))
 
 
 def index_key(schema: EntitySchema, key: str) -> Column:
@@ -97,18 +115,21 @@ def index_key(schema: EntitySchema, key: str) -> Column:
 class Mutations:
     """Mixed into Database."""
 
-    def _unique(self, schema: EntitySchema, old: DataFrame, new: DataFrame) -> None:
+    def _unique(self, schema: EntitySchema, old: DataFrame | None, new: DataFrame) -> list[DataFrame]:
         """No primary or unique key of new occurs in new again or in old. Rows with a null key part are apart."""
+        out: list[DataFrame] = []
         keys = [("primary key", [F.col(f"`{k}`") for k in schema.key], None)]
         keys += [(i.name, [index_key(schema, k) for k in i.keys], i.where) for i in schema.indexes if i.unique]
         for name, cols, where in keys:
             pick = lambda df, where=where, cols=cols: (df.filter(boolean(check_expression(where), Scope(schema))) if where else df).select(*[c.alias(f"k{i}") for i, c in enumerate(cols)]).dropna()
             mine, names = pick(new), [f"k{i}" for i in range(len(cols))]
-            if not mine.groupBy(*names).count().filter("count > 1").isEmpty() or not pick(old).join(mine, names, "left_semi").isEmpty():
-                refuse("unique", f"{schema.name}: {name} is taken")
+            found = [mine.groupBy(*names).count().filter("count > 1")] + ([pick(old).join(mine, names, "left_semi")] if old is not None else [])
+            out += [problem(x, "unique", f"{schema.name}: {name} is taken") for x in found]
+        return out
 
-    def _relations(self, schema: EntitySchema, new: DataFrame, final: dict[str, DataFrame]) -> None:
-        """Every non-null reference of new has a target in the rows as they will be."""
+    def _relations(self, schema: EntitySchema, new: DataFrame, final: dict[str, DataFrame]) -> list[DataFrame]:
+        """Problems of non-null references of new without a target in the rows as they will be."""
+        out = []
         for f in schema.fields:
             if f.relation:
                 target = self.schema(f.relation)
@@ -116,11 +137,13 @@ class Mutations:
                 rows = self.rows(f.relation) if rows is None else rows
                 c = F.explode(F.col(f"`{f.name}`")) if f.kind in ("list", "set") else F.col(f"`{f.name}`")
                 want = new.select(c.alias("ref")).dropna()
-                if not want.join(rows.select(F.col(f"`{target.key[0]}`").alias("ref")), "ref", "left_anti").isEmpty():
-                    refuse("relation", f"{schema.name}.{f.name} has no target in {f.relation}")
+                lost = want.join(rows.select(F.col(f"`{target.key[0]}`").alias("ref")), "ref", "left_anti")
+                out.append(problem(lost, "relation", f"{schema.name}.{f.name} has no target in {f.relation}"))
+        return out
 
-    def _blocked(self, schema: EntitySchema, gone: DataFrame, final: dict[str, DataFrame]) -> None:
-        """No row of any entity refers to a row that goes."""
+    def _blocked(self, schema: EntitySchema, gone: DataFrame, final: dict[str, DataFrame]) -> list[DataFrame]:
+        """Problems of rows of any entity that refer to a row that goes."""
+        out = []
         for name in self.store.names():
             other = self.schema(name)
             for f in other.fields:
@@ -128,8 +151,9 @@ class Mutations:
                     rows = final.get(name.lower())
                     rows = self.rows(name) if rows is None else rows
                     c = F.explode(F.col(f"`{f.name}`")) if f.kind in ("list", "set") else F.col(f"`{f.name}`")
-                    if not rows.select(c.alias("ref")).dropna().join(gone.select(F.col(f"`{schema.key[0]}`").alias("ref")), "ref", "left_semi").isEmpty():
-                        refuse("relation", f"{name}.{f.name} refers to a row of {schema.name} that would go")
+                    held = rows.select(c.alias("ref")).dropna().join(gone.select(F.col(f"`{schema.key[0]}`").alias("ref")), "ref", "left_semi")
+                    out.append(problem(held, "relation", f"{name}.{f.name} refers to a row of {schema.name} that would go"))
+        return out
 
     def _filled(self, schema: EntitySchema, given: list[dict[str, Any]], sequence: int) -> tuple[list[tuple], int]:
         """Complete rows, with defaults and generated values."""
@@ -174,10 +198,8 @@ class Mutations:
         snap = snap or self.snapshot(entity)
         schema = snap.schema
         new = new.select(*[new[f.name].cast(f.spark_type()).alias(f.name) for f in schema.fields])
-        enforce(new, violations(schema, list(schema.checks)))
-        old = self.store.read(snap)
-        self._unique(schema, old, new)
-        self._relations(schema, new, {schema.name.lower(): old.unionByName(new)})
+        old = self.store.read(snap) if snap.files else None
+        settle(broken(new, violations(schema, list(schema.checks))) + self._unique(schema, old, new) + self._relations(schema, new, {schema.name.lower(): new if old is None else old.unionByName(new)}))
         files = self.store.write(schema, new, snap.number + 1)
         done = self.store.commit(schema, snap.number + 1, snap.files + files, snap.sequence if sequence is None else sequence)
         return self.store.read(done, files)
@@ -252,12 +274,10 @@ class Mutations:
         stamp = {f.name: now for f in schema.fields if f.generated == "updated_at"}
         after = [tuple((sets | stamp).get(f.name, r[f.name]) for f in schema.fields) for r in rows]
         new = self.spark.createDataFrame(after, schema.spark(), verifySchema=False)
-        enforce(new, violations(schema, list(schema.checks)))
         touched = tuple(sorted({r["__file"] for r in rows}))
         keys = self.spark.createDataFrame([tuple(r[k] for k in schema.key) for r in rows], new.select(*schema.key).schema)
         final_old = self.store.read(snap).join(F.broadcast(keys), list(schema.key), "left_anti").select(*[f.name for f in schema.fields])
-        self._unique(schema, final_old, new)
-        self._relations(schema, new, {schema.name.lower(): final_old.unionByName(new)})
+        settle(broken(new, violations(schema, list(schema.checks))) + self._unique(schema, final_old, new) + self._relations(schema, new, {schema.name.lower(): final_old.unionByName(new)}))
         rest = self.store.read(snap, touched).join(F.broadcast(keys), list(schema.key), "left_anti").select(*[f.name for f in schema.fields])
         files = self.store.write(schema, rest.unionByName(new), snap.number + 1)
         self.store.commit(schema, snap.number + 1, tuple(f for f in snap.files if f not in touched) + files, snap.sequence)
@@ -275,7 +295,7 @@ class Mutations:
         left = self.store.read(snap, with_file=True).join(gone.select(*keys), keys, "left_semi").select("__file").distinct()
         touched = tuple(r[0] for r in left.collect())  # a row for each file
         final = self.store.read(snap).join(gone.select(*keys), keys, "left_anti").select(*names)
-        self._blocked(schema, gone, {schema.name.lower(): final})
+        settle(self._blocked(schema, gone, {schema.name.lower(): final}))
         rest = self.store.read(snap, touched).join(gone.select(*keys), keys, "left_anti").select(*names)
         new = self.store.write(schema, rest, snap.number + 1)
         self.store.commit(schema, snap.number + 1, tuple(f for f in snap.files if f not in touched) + new, snap.sequence)
@@ -294,14 +314,12 @@ class Mutations:
             snap = self.snapshot(name)
             full, sequence = self._filled(snap.schema, [{snap.schema.field(k).name: v for k, v in r.items()} for r in rows], snap.sequence)
             new = self.spark.createDataFrame(full, snap.schema.spark(), verifySchema=False)
-            enforce(new, violations(snap.schema, list(snap.schema.checks)))
             old = self.store.read(snap)
-            self._unique(snap.schema, old, new)
+            settle(broken(new, violations(snap.schema, list(snap.schema.checks))) + self._unique(snap.schema, old, new))
             final[name.lower()], made[name] = old.unionByName(new), (snap, new, sequence)
         if len({snap.schema.store for snap, _, _ in made.values()}) > 1:
             refuse("batch_store", "a batch stays in one store")
-        for snap, new, _ in made.values():
-            self._relations(snap.schema, new, final)
+        settle([x for snap, new, _ in made.values() for x in self._relations(snap.schema, new, final)])
         staged = {name: self.store.write(snap.schema, new, snap.number + 1) for name, (snap, new, _) in made.items()}
         done: list = []
         try:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.errors import refuse
 from quillon.functions.schema import EntitySchema
@@ -70,7 +71,9 @@ class Store:
         if not files:
             df = self.spark.createDataFrame([], schema.spark())
             return df.withColumn("__file", F.lit("")) if with_file else df
-        raw = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.home(schema)}/{f}" for f in files])
+        written = {n: f.spark_type() for f in schema.fields for n in dict.fromkeys((f.name, f.source or f.name))}
+        declared = T.StructType([T.StructField(n, t) for n, t in written.items()])  # a file without a column gives nulls
+        raw = self.spark.read.schema(declared).parquet(*[f"{self.home(schema)}/{f}" for f in files])
         cols = []
         for f in schema.fields:
             old = f.source or f.name
