@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import secrets
 import time
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.functions.errors import refuse
 from quillon.functions.schema import EntitySchema
 from quillon.operators.ddl import Definitions
+from quillon.operators.migrate import Migrations
 from quillon.operators.fluent import Query
 from quillon.operators.mutate import Mutations
 from quillon.plans import nodes as N
@@ -25,7 +26,7 @@ from quillon.sources.store import Snapshot, Store
 SHAPES, CACHED = 32, 256
 
 
-class Database(Mutations, Definitions):
+class Database(Mutations, Definitions, Migrations):
     """Entities that are created here live in the store under root; registered ones are read-only tables."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, secret: bytes | None = None) -> None:
@@ -33,6 +34,7 @@ class Database(Mutations, Definitions):
         self.registered: dict[str, Source] = {}
         self._parsed: OrderedDict[str, Any] = OrderedDict()
         self.metrics: OrderedDict[str, dict] = OrderedDict()
+        self.intents: Counter = Counter()
 
     # entities
     def create(self, schema: EntitySchema) -> None:

@@ -138,14 +138,23 @@ def agg(name: str, arg: Any = None, distinct: bool = False, where: Expr | None =
 class Query:
     """An immutable query of one entity. Policy PUBLIC refuses what its lane doesn't admit."""
 
-    def __init__(self, db: Any, entity: str, s: N.Select | None = None, policy: Policy | None = None) -> None:
-        self.db, self.entity, self.s, self.policy = db, entity, s or N.Select(entity), policy
+    def __init__(self, db: Any, entity: str, s: N.Select | None = None, policy: Policy | None = None, intent: ReadIntent = ReadIntent.UNSPECIFIED) -> None:
+        self.db, self.entity, self.s, self.policy, self.intent = db, entity, s or N.Select(entity), policy, intent
 
     def _with(self, **new: Any) -> Query:
-        return Query(self.db, self.entity, replace(self.s, **new), self.policy)
+        return Query(self.db, self.entity, replace(self.s, **new), self.policy, self.intent)
 
     def public(self) -> Query:
-        return Query(self.db, self.entity, self.s, PUBLIC)
+        return Query(self.db, self.entity, self.s, PUBLIC, ReadIntent.PUBLIC_PAGE)
+
+    def intended(self, intent: ReadIntent) -> Query:
+        """The query with a declared intent, which its metrics name."""
+        return Query(self.db, self.entity, self.s, self.policy, intent)
+
+    def execute_complete_small_set(self, most: int = 100) -> list[Row]:
+        """All rows, or an error if there are more than `most`: never a part of them."""
+        rows = run(replace(self.s, limit=most + 1), self._source()).collect()
+        return rows if len(rows) <= most else refuse("complete_set", f"more than {most} rows")
 
     def filter(self, e: Expr) -> Query:
         return self._with(where=e.node if self.s.where is None else N.Binary("AND", self.s.where, e.node))
@@ -179,6 +188,7 @@ class Query:
 
     def _source(self) -> Source:
         src = self.db.source(self.entity)
+        self.db.intents[self.intent] += 1
         if self.policy is not None:
             admit(self.s, src.schema, self.policy)
         return src
@@ -192,7 +202,7 @@ class Query:
     def execute_grouped(self, limits: GroupLimits = GroupLimits(), cursor: str | None = None) -> Page:  # noqa: B008
         """A page of groups; more groups than the budget's fail the read."""
         src = self._source()
-        run(replace(self.s, limit=None, order=()), src, limits.max_groups)
+        run(replace(self.s, limit=None, order=()), src, limits.max_groups, limits.max_bytes, limits.max_distinct)
         return grouped_page(self.s, src, self.db.secret, cursor)
 
     def execute_live_page(self, cursor: str | None = None) -> Page:

@@ -301,6 +301,39 @@ class Mutations:
         self.store.commit(schema, snap.number + 1, tuple(f for f in snap.files if f not in touched) + new, snap.sequence)
         return self._returning(schema, gone, s.returning)
 
+    # structural writes, by primary key
+
+    def _by_key(self, schema: EntitySchema, key: dict[str, Any]) -> Any:
+        if {schema.field(k).name for k in key} != set(schema.key):
+            refuse("key", f"{schema.name} is keyed by {', '.join(schema.key)}")
+        kind = lambda v: "text" if isinstance(v, str) else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "blob" if isinstance(v, bytes) else "decimal"
+        return reduce(lambda a, b: N.Binary("AND", a, b), [N.Binary("=", N.Field((k,)), N.Lit(v, kind(v))) for k, v in key.items()])
+
+    def update_row(self, entity: str, key: dict[str, Any], values: dict[str, Any]) -> DataFrame:
+        """The row of a key with other values; an unknown key is an error."""
+        sets = tuple((k, N.Lit(v, "value")) for k, v in values.items())
+        out = self.update(N.Update(entity, sets, self._by_key(self.schema(entity), key), returning=()))
+        return out if not out.isEmpty() else refuse("not_found", f"{entity} has no such row")
+
+    def delete_row(self, entity: str, key: dict[str, Any]) -> bool:
+        return self.delete(N.Delete(entity, self._by_key(self.schema(entity), key))).first().affected == 1
+
+    def replace_row(self, entity: str, row: dict[str, Any]) -> DataFrame:
+        """Puts a whole row in the place of the one with its key, or inserts it."""
+        snap = self.snapshot(entity)
+        schema = snap.schema
+        full, sequence = self._filled(schema, [{schema.field(k).name: v for k, v in row.items()}], snap.sequence)
+        new = self.spark.createDataFrame(full, schema.spark(), verifySchema=False)
+        keys, names = list(schema.key), [f.name for f in schema.fields]
+        old = self.store.read(snap, with_file=True)
+        touched = tuple(r[0] for r in old.join(F.broadcast(new.select(*keys)), keys, "left_semi").select("__file").distinct().collect())
+        rest = old.join(F.broadcast(new.select(*keys)), keys, "left_anti").select(*names)
+        settle(broken(new, violations(schema, list(schema.checks))) + self._unique(schema, rest, new) + self._relations(schema, new, {schema.name.lower(): rest.unionByName(new)}))
+        kept = self.store.read(snap, touched).join(F.broadcast(new.select(*keys)), keys, "left_anti").select(*names)
+        files = self.store.write(schema, kept.unionByName(new), snap.number + 1)
+        self.store.commit(schema, snap.number + 1, tuple(f for f in snap.files if f not in touched) + files, sequence)
+        return new
+
     def batch(self, inserts: dict[str, list[dict[str, Any]]]) -> dict[str, int]:
         """Inserts into several entities, checked against what all of them will be; at most BATCH rows.
 

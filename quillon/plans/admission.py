@@ -16,20 +16,20 @@ from quillon.plans.select import lane
 
 
 class ReadIntent(Enum):
-    """The kinds of reads a caller can declare."""
+    """What a caller's terminal means to read. Diagnostic only; it grants nothing."""
 
+    UNSPECIFIED = "unspecified"
+    BOUNDED_ROW_WINDOW = "bounded_row_window"
+    EXISTENCE_CHECK = "existence_check"
     PUBLIC_PAGE = "public_page"
-    TRUSTED_PAGE = "trusted_page"
-    EXACT_COUNT = "exact_count"
-    GROUPED = "grouped"
-    EXACT_KEYS = "exact_keys"
-    EXHAUSTIVE = "exhaustive"
-    DIAGNOSTIC_EXPLAIN = "diagnostic_explain"
+    COMPLETE_SMALL_SET = "complete_small_set"
+    EXACT_AGGREGATE = "exact_aggregate"
+    TRUSTED_ADMIN_BATCH = "trusted_admin_batch"
 
 
 @dataclass(frozen=True)
 class GroupLimits:
-    """Budgets of a grouped read; more than max_groups fails it as a whole."""
+    """Budgets of a grouped read: groups, bytes of their rows, and distinct values of DISTINCT aggregates."""
 
     max_groups: int = 100
     max_bytes: int = 64 << 10

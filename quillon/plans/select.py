@@ -138,16 +138,17 @@ def _named(items: tuple, scope: Scope) -> list[Column]:
     return out
 
 
-def run(s: N.Select, src: Source, max_groups: int | None = None) -> DataFrame:
-    """The statement's rows. A grouped statement of more than max_groups groups fails as a whole."""
+def run(s: N.Select, src: Source, max_groups: int | None = None, max_bytes: int | None = None, max_distinct: int | None = None) -> DataFrame:
+    """The statement's rows. A grouped statement over a budget fails as a whole: more than max_groups groups,
+    more bytes of their rows, or more values in its DISTINCT aggregates."""
     scope = Scope(src.schema, s.alias)
     df = src.df.filter(boolean(s.where, scope)) if s.where is not None else src.df
     if s.where is not None and N.has_aggregate(s.where):
         refuse("misplaced_aggregate", "WHERE has no aggregates")
-    return {"scalar": _scalar, "grouped": _grouped, "global": _global}[lane(s)](s, df, scope, max_groups)
+    return {"scalar": _scalar, "grouped": _grouped, "global": _global}[lane(s)](s, df, scope, (max_groups, max_bytes, max_distinct))
 
 
-def _scalar(s: N.Select, df: DataFrame, scope: Scope, _: int | None) -> DataFrame:
+def _scalar(s: N.Select, df: DataFrame, scope: Scope, _: tuple) -> DataFrame:
     if s.having is not None:
         refuse("having_without_group", "HAVING needs GROUP BY or a global aggregate")
     items = s.items or tuple(N.Item(N.Field((f.name,))) for f in scope.schema.fields)
@@ -179,7 +180,7 @@ def order_terms_loose(s: N.Select) -> list[N.Order]:
     return [N.Order(aliases.get(o.expr.path[0].lower(), o.expr) if isinstance(o.expr, N.Field) and len(o.expr.path) == 1 else o.expr, o.desc) for o in s.order]
 
 
-def _global(s: N.Select, df: DataFrame, scope: Scope, _: int | None) -> DataFrame:
+def _global(s: N.Select, df: DataFrame, scope: Scope, _: tuple) -> DataFrame:
     """Order, offset and limit choose the input rows; terms that name an output of the aggregation are inert."""
     if s.distinct:
         refuse("distinct_aggregate", "SELECT DISTINCT has no global aggregates")
@@ -196,7 +197,7 @@ def _global(s: N.Select, df: DataFrame, scope: Scope, _: int | None) -> DataFram
     return out.select(*_named(s.items, after))
 
 
-def _grouped(s: N.Select, df: DataFrame, scope: Scope, max_groups: int | None) -> DataFrame:
+def _grouped(s: N.Select, df: DataFrame, scope: Scope, budget: tuple) -> DataFrame:
     if not s.items:
         refuse("grouped_star", "a grouped SELECT lists its outputs")
     if len(set(s.group)) < len(s.group):
@@ -215,11 +216,17 @@ def _grouped(s: N.Select, df: DataFrame, scope: Scope, max_groups: int | None) -
     elif any(k >= len(s.group) or o.expr != s.group[k] for k, o in enumerate(terms)):
         refuse("grouped_order_prefix", "ORDER BY follows the group keys in their order")
     keys, made = [typed(g, scope) for g in s.group], [aggregate(a, scope) for a in aggs]
-    out = df.groupBy(*[t.col.alias(f"__k{i}") for i, t in enumerate(keys)]).agg(*[t.col.alias(f"__a{i}") for i, t in enumerate(made)])
+    max_groups, max_bytes, max_distinct = budget
+    distinct = [aggregate(N.Agg("COUNT", a.arg, True), scope).col.alias(f"__d{i}") for i, a in enumerate(aggs) if a.distinct and max_distinct is not None]
+    out = df.groupBy(*[t.col.alias(f"__k{i}") for i, t in enumerate(keys)]).agg(*[t.col.alias(f"__a{i}") for i, t in enumerate(made)], *distinct)
     if max_groups is not None:
         rows = out.limit(max_groups + 1).collect()  # one run; its size is the budget's
         if len(rows) > max_groups:
             refuse("group_budget", f"more than {max_groups} groups")
+        if max_bytes is not None and sum(len(str(v)) for r in rows for v in r) > max_bytes:
+            refuse("group_bytes", f"more than {max_bytes} bytes of groups")
+        if max_distinct is not None and sum(r[c] for r in rows for c in out.columns if c.startswith("__d")) > max_distinct:
+            refuse("distinct_budget", f"more than {max_distinct} distinct values")
         out = out.sparkSession.createDataFrame(rows, out.schema)
     outputs = {g: t._replace(col=F.col(f"__k{i}")) for i, (g, t) in enumerate(zip(s.group, keys, strict=True))}
     outputs |= {a: t._replace(col=F.col(f"__a{i}")) for i, (a, t) in enumerate(zip(aggs, made, strict=True))}

@@ -111,3 +111,37 @@ def test_heap_store_and_dynamic(db, spark):
     assert db.dynamic({"entity": "tmp", "select": ["v"], "where": "v IS NOT NULL", "order": [["v", False]], "limit": 5}).collect()[0].v == "a"
     assert len(db.sql("SELECT id FROM Tmp").first().id) == 26
     assert code(lambda: db.dynamic({"entity": "tmp", "join": "x"})) == "dynamic_request"
+
+
+def test_structural_writes(db):
+    db.insert_rows("Player", [{"team": 1, "level": 3}])
+    assert db.update_row("Player", {"id": 1}, {"level": 8}).first().level == 8
+    assert code(lambda: db.update_row("Player", {"id": 9}, {"level": 8})) == "not_found" and code(lambda: db.update_row("Player", {"team": 1}, {})) == "key"
+    db.replace_row("Team", {"id": 2, "name": "teal"})
+    db.replace_row("Team", {"id": 6, "name": "new"})
+    assert sorted((r.id, r.name) for r in db.rows("Team").collect()) == [(1, "red"), (2, "teal"), (6, "new")]
+    assert code(lambda: db.replace_row("Team", {"id": 6, "name": "RED"})) == "unique"
+    assert db.delete_row("Team", {"id": 6}) is True and db.delete_row("Team", {"id": 6}) is False
+
+
+def test_migrations(db):
+    from quillon.operators.migrate import Migration
+
+    fields = db.schema("Team").fields
+    m = Migration(1, (fields[0], FieldSpec("label", "text"), FieldSpec("size", "int64"), FieldSpec("note", "text", True)), {"size": "LENGTH(name) + 1", "label": "UPPER(name)"})
+    assert code(lambda: db.migrate("Team", [Migration(5, fields)])) == "migration_gap"
+    db.store.commit(db.schema("Team").changed(indexes=()), db.snapshot("Team").number + 1, db.snapshot("Team").files)
+    assert db.migrate("Team", [Migration(2, m.fields, m.values)]) == 3 and db.migrate("Team", [Migration(2, m.fields, m.values)]) == 3
+    assert sorted(tuple(r) for r in db.rows("Team").collect()) == [(1, "RED", 4, None), (2, "BLUE", 5, None)]
+
+
+def test_group_budgets(db):
+    from quillon.operators.fluent import agg
+    from quillon.plans.admission import GroupLimits
+
+    db.insert_rows("Player", [{"team": 1 + k % 2, "level": k} for k in range(10)])
+    q = db.query("Player").group_by("team").aggregate(n=agg("count", "level", distinct=True))
+    assert [r.n for r in q.execute_grouped().rows] == [5, 5]
+    for limits, want in [(GroupLimits(1), "group_budget"), (GroupLimits(10, 2), "group_bytes"), (GroupLimits(10, 999, 9), "distinct_budget")]:
+        assert code(lambda limits=limits: q.execute_grouped(limits)) == want
+    assert len(db.query("Player").execute_complete_small_set(10)) == 10 and code(lambda: db.query("Player").execute_complete_small_set(9)) == "complete_set"
