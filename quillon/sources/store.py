@@ -35,9 +35,22 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark, self.files = spark, Files(spark)
-        self.root = (root or "file://" + tempfile.mkdtemp(prefix="quillon-journal-")).rstrip("/")
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.heap = f"{shared.rstrip('/')}/quillon-heap-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="quillon-heap-")
+        self._root, self._heap = root.rstrip("/") if root else None, None
+
+    def _own(self, label: str) -> str:
+        """A new folder in the one that the cluster shares; a local one only where none is set."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        return f"{shared.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix=f"quillon-{label}-")
+
+    @property
+    def root(self) -> str:
+        self._root = self._root or self._own("journal")
+        return self._root
+
+    @property
+    def heap(self) -> str:
+        self._heap = self._heap or self._own("heap")
+        return self._heap
 
     def home(self, schema: EntitySchema) -> str:
         return f"{self.root if schema.store == 'journaled' else self.heap}/{schema.name}"
