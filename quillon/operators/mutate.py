@@ -233,7 +233,7 @@ class Mutations:
     def _returning(self, schema: EntitySchema, rows: DataFrame, fields: tuple | None) -> DataFrame:
         """Returned rows, or their number as `affected`."""
         if fields is None:
-            return self.spark.createDataFrame([(rows.count(),)], "affected long")
+            return self.spark.createDataFrame([(rows.count(),)], "affected long")  # local rows or new files: cheap
         names = [schema.field(f.path[0]).name for f in fields] or [f.name for f in schema.fields]
         return rows.select(*names)
 
@@ -287,13 +287,18 @@ class Mutations:
         snap = self.snapshot(s.entity)
         schema = snap.schema
         names = [f.name for f in schema.fields]
-        files = self.store.write(schema, self._touched(snap, s).select(*names), snap.number + 1)  # kept for RETURNING and the anti-joins
-        gone = self.store.read(snap, files) if files else self.spark.createDataFrame([], schema.spark())
-        if gone.isEmpty():
-            return self._returning(schema, gone, s.returning)
         keys = list(schema.key)
-        left = self.store.read(snap, with_file=True).join(gone.select(*keys), keys, "left_semi").select("__file").distinct()
-        touched = tuple(r[0] for r in left.collect())  # a row for each file
+        rows = self._touched(snap, s).limit(EXACT_UPDATE + 1).collect()
+        if len(rows) <= EXACT_UPDATE:  # few rows are held here, any number is held in files
+            gone = self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema.spark(), verifySchema=False)
+            touched = tuple(sorted({r["__file"] for r in rows}))
+        else:
+            files = self.store.write(schema, self._touched(snap, s).select(*names), snap.number + 1)
+            gone = self.store.read(snap, files)
+            left = self.store.read(snap, with_file=True).join(gone.select(*keys), keys, "left_semi").select("__file").distinct()
+            touched = tuple(r[0] for r in left.collect())  # a row for each file
+        if not rows:
+            return self._returning(schema, gone, s.returning)
         final = self.store.read(snap).join(gone.select(*keys), keys, "left_anti").select(*names)
         settle(self._blocked(schema, gone, {schema.name.lower(): final}))
         rest = self.store.read(snap, touched).join(gone.select(*keys), keys, "left_anti").select(*names)

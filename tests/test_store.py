@@ -145,3 +145,14 @@ def test_group_budgets(db):
     for limits, want in [(GroupLimits(1), "group_budget"), (GroupLimits(10, 2), "group_bytes"), (GroupLimits(10, 999, 9), "distinct_budget")]:
         assert code(lambda limits=limits: q.execute_grouped(limits)) == want
     assert len(db.query("Player").execute_complete_small_set(10)) == 10 and code(lambda: db.query("Player").execute_complete_small_set(9)) == "complete_set"
+
+
+def test_large_delete_goes_through_files(db, monkeypatch):
+    from quillon.operators import mutate
+
+    monkeypatch.setattr(mutate, "EXACT_UPDATE", 2)
+    db.insert_rows("Player", [{"team": 1 + k % 2, "level": k} for k in range(10)])
+    assert sorted(r.level for r in db.sql("DELETE FROM Player WHERE team = 1 RETURNING level").collect()) == [0, 2, 4, 6, 8]
+    assert sorted(r.level for r in db.rows("Player").collect()) == [1, 3, 5, 7, 9]
+    db.insert_rows("Player", [{"team": 2}])
+    assert code(lambda: db.sql("DELETE FROM Team")) == "relation"
