@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, tasks
+from quillon.llm.common import mapped, staged, tasks
 
 
 def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, at_least: int = 12) -> DataFrame:
@@ -28,7 +28,7 @@ def by_group(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.Rec
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition(tasks(df.sparkSession, at_least), key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(tasks(df.sparkSession, at_least), key).sortWithinPartitions(key).transform(mapped, run, schema)
 
 
 def components(edges: DataFrame, label: str = "links", most: int = 60) -> DataFrame:

@@ -1,15 +1,18 @@
 """N-gram Jaccard join through a token-group matrix.
 
 Documents with equal shingle sets are one set. Similar sets share a group: the sets of one least
-shingle hash (split into blocks of MAX_GROUP sets, so that no group grows without bound).
+shingle hash, and those of a smaller group that have most of their tokens in common with it (split into
+blocks of MAX_GROUP sets, so that no group grows without bound).
 
 The matrix's tokens make every bound exact without frequent tokens. Shingles are dealt into m parts by
 hash, and a token is the content of one part. If 100 * |A and B| >= t * |A or B|, A and B differ in
 d <= (100 - t) / (100 + t) * (|A| + |B|) shingles, so in at most d parts, so they share at least m - d
 tokens. m depends on a size class; a set of a size near a class's upper end has tokens of the next
-class too. A row of the matrix is a group that holds a token in its union; a query set's overlap with
-the group is the number of its tokens there, and a group is opened only if the overlap reaches m - d.
-A passage that many documents share is in parts with each document's own shingles, so it makes no pairs.
+class too. Parts of a single shingle make no tokens, and count against the bound; the few sets that are
+left without a bound also have prefix tokens. A row of the matrix is a group that holds a token in its
+union; a query set's overlap with the group is the number of its tokens there, and a group is opened only
+if the overlap reaches the bound. A passage that many documents share is in parts with each document's own
+shingles, so it makes no pairs.
 
 Of two groups the smaller one's sets are the queries. An opened group's sets are compared exactly, by
 walking from each set to those not reached yet: links come out as a spanning forest, never as all pairs.
@@ -22,16 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import mapped, staged, table
 from quillon.llm.grouped import by_group, components
 
 #: Ratio of a size class; more sets than this in a group are split into blocks.
-CLASS_RATIO, MAX_GROUP = 1.5, 4096
-#: Parts beyond the least number; more make a stricter bound and a longer matrix.
-SPARE = 1.25
+CLASS_RATIO, MAX_GROUP = 1.35, 4096
+#: Parts beyond the least number, by the square of the dissimilarity; shingles of a light part.
+SPARE, LIGHT = 20, 1
+#: Tokens that a larger group must share for a set to move there, as a share of the most differences.
+MOVE = 0.15
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -61,30 +67,42 @@ def size_class(n: int) -> int:
 
 
 def parts_of(k: int, percent: int) -> int:
-    """Parts of size class k: over the most differences of two sets in it."""
+    """Parts of size class k: over the most differences of two sets in it, by more the lower the similarity."""
     top = CLASS_RATIO ** (k + 1)
-    return int(SPARE * most_different(int(top), top, percent)) + 1
+    return int((1 + SPARE * (1 - percent / 100) ** 2) * most_different(int(top), top, percent)) + 1
 
 
-def tokens(sets: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """(class, tokens) for the classes that a set takes part in: its own and, near the end, the next."""
-    n, out = len(sets), []
+def tokens(sets: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """(tokens that any linked set shares at least, tokens) of a set, for its class and, near its end, the next.
+
+    Parts of at most LIGHT shingles are left out, as unrelated sets share them often; the bound falls by
+    their number. A set for which it would fall below 1 also has its prefix as tokens: the shingles of the
+    least hashes, so many that two linked sets share one. A set that keeps its bound shares a token of a
+    part with any linked set, so prefixes are only needed between two sets that both have them.
+    """
+    n, least, out = len(sets), 1 << 30, []
     if not n:
-        return out
-    home = size_class(n)
-    for k in {home, size_class(max(n, n * 100 // percent))}:
+        return 0, sets
+    most = most_different(n, n * 100 // percent, percent)
+    for k in {size_class(n), size_class(max(n, n * 100 // percent))}:
         m = parts_of(k, percent)
         part = ((sets >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(m + 1))
-        # a sum of mixed hashes names a part's content, so an empty part is named as well
         mixed = sets * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(31)
+        # a sum of mixed hashes names a part's content
         total = np.append(np.uint64(0), np.cumsum(mixed[order] * np.uint64(0x165667B19E3779F9), dtype=np.uint64))
         x = total[bounds[1:]] - total[bounds[:-1]]
         x = (x + np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((k, x ^ (x >> np.uint64(33))))
-    return out
+        x ^= x >> np.uint64(33)
+        heavy = np.diff(bounds) > LIGHT
+        out.append(x[heavy])
+        least = min(least, m - most - int((~heavy).sum()))
+    if least < 1:
+        first = sets[: n - -(-n * percent // 100) + 1]
+        out.append((first ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB))
+    return max(1, least), np.concatenate(out)
 
 
 def _links(near: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -96,7 +114,8 @@ def _open(percent: int, width: int):
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         """Spanning links of one group's members, and of queries with them."""
         node, member = group["node"].to_numpy(), group["member"].to_numpy(zero_copy_only=False).astype(bool)
-        sets = [shingles(t.as_py(), width) for t in group["text"]]
+        press = zstandard.ZstdDecompressor()
+        sets = [shingles(press.decompress(z.as_py()).decode("utf-8", "surrogatepass"), width) for z in group["z"]]
         sizes = np.array([len(x) for x in sets])
         inside = np.flatnonzero(member)
         count, at = len(inside), {int(j): i for i, j in enumerate(inside)}
@@ -138,73 +157,110 @@ def _open(percent: int, width: int):
     return work
 
 
+def _qualifying(asked: DataFrame) -> DataFrame:
+    """node, other of the groups whose overlap with the node's tokens reaches the bound."""
+    overlaps = asked.groupBy("node", "need", "other").agg(F.count(F.lit(1)).alias("overlap"))
+    return overlaps.filter("overlap >= need").select("node", "other")
+
+
+def _compare(texts: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, percent: int, width: int) -> DataFrame:
+    """a, b: spanning links inside groups (node, grp of members) and of queries (node, grp) with them."""
+    to = members.withColumn("member", F.lit(True)).unionByName(queries.withColumn("member", F.lit(False)))
+    deliver = to.groupBy("node").agg(F.collect_list(F.struct("grp", "member")).alias("to")).join(nodes.select("node", "s1", "s2", "rep"), "node")
+    deliver = staged(deliver, "jaccard-deliver")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for big in batches:
+            for i in range(0, big.num_rows, 500):
+                b = big.slice(i, 500)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], pa.binary())], ["id", "z"])
+
+    packed = texts.filter("id is not null").transform(mapped, pack, "id long, z binary")
+    # one plan at every size: the list of sets to deliver has no bound, so it isn't broadcast where it happens to be small
+    plain = packed.join(deliver.filter("rep is not null").select("rep", "node", "to").hint("merge"), F.col("id") == F.col("rep")).select("node", "to", "z")
+    if not nodes.filter("rep is null").isEmpty():  # sets whose rows have no id are found by their contents
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            press = zstandard.ZstdCompressor(level=1)
+            for b in batches:
+                raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(0)]
+                names = [xxhash.xxh3_128_intdigest(shingles(t.as_py(), width).tobytes()) for t in b.column(0)]
+                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([press.compress(x) for x in raw], pa.binary()), longs([x & (2**64 - 1) for x in names]), longs([x >> 64 for x in names])], ["z", "s1", "s2"])
+
+        named = texts.filter("id is null").select("text").transform(mapped, name, "z binary, s1 long, s2 long")
+        plain = plain.unionByName(named.join(deliver.filter("rep is null").select("s1", "s2", "node", "to"), ["s1", "s2"]).select("node", "to", "z"))
+    sent = plain.select("node", "z", F.explode("to").alias("x")).select("node", "z", "x.grp", "x.member")
+    return by_group(sent, "grp", _open(percent, width), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """id (long), n_shingles long, component_id long of every row whose Jaccard similarity links reach.
 
     Two rows link when 100 * intersection >= percent * union of their shingle sets. Null, empty and
-    wordless texts have 0 shingles and stay alone. Rows that repeat an id or a text get a row each. A
-    null id stays null; its component is the least id that it reaches, if any. An empty table gives an
-    empty result; other columns stay out, whatever their names.
+    wordless texts have 0 shingles and stay alone. Rows that repeat an id or a text get a row each; rows of
+    one id count as linked. A null id stays null; its component is the least id that it reaches, if any. An
+    empty table gives an empty result; other columns stay out, whatever their names.
     """
 
+    longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 500):
                 b = big.slice(start, 500)
                 sets = [shingles(t.as_py(), width) for t in b.column(1)]
                 names = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in sets]
-                pairs = [tokens(x, percent) for x in sets]
-                flat = [pa.array([v.view(np.int64) if len(p) > i else None for p in pairs for v in [p[i][1] if len(p) > i else np.zeros(0, np.uint64)]], pa.list_(pa.int64())) for i in (0, 1)]
-                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), longs([x & (2**64 - 1) for x in names]), longs([x >> 64 for x in names]), longs([x[0] if len(x) else 0 for x in sets]), *flat, *(pa.array([p[i][0] if len(p) > i else None for p in pairs], pa.int32()) for i in (0, 1))], ["id", "n", "s1", "s2", "least", "t0", "t1", "k0", "k1"])
+                needs = [tokens(x, percent)[0] for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), longs([x & (2**64 - 1) for x in names]), longs([x >> 64 for x in names]), longs([x[0] if len(x) else 0 for x in sets]), pa.array(needs, pa.int64())], ["id", "n", "s1", "s2", "least", "need"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for big in batches:
+            for start in range(0, big.num_rows, 500):
+                flat, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                for t in big.slice(start, 500).column(0):
+                    x = shingles(t.as_py(), width)
+                    s1 = xxhash.xxh3_128_intdigest(x.tobytes()) & (2**64 - 1)
+                    if len(x) and s1 not in seen:
+                        seen.add(s1)
+                        flat.append(tokens(x, percent)[1])
+                        owner.append(np.full(len(flat[-1]), s1, np.uint64))
+                yield pa.RecordBatch.from_arrays([longs(np.concatenate(flat)), longs(np.concatenate(owner))], ["token", "s1"])
 
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows = staged(texts.mapInArrow(read, "id long, n long, s1 long, s2 long, least long, t0 array<long>, t1 array<long>, k0 int, k1 int"), "jaccard-sets")
-    slim = rows.select("id", "n", "s1", "s2", "least")
+    slim = staged(texts.transform(mapped, read, "id long, n long, s1 long, s2 long, least long, need long"), "jaccard-sets")
     # one node for each distinct set: its least id, or a negative mark if none of its rows has an id
-    nodes = slim.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"))
-    nodes = nodes.select("s1", "s2", "n", "least", "rep", F.coalesce("rep", -F.abs(F.shiftright("s1", 1)) - 2).alias("node"))
+    nodes = slim.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("need").alias("need"))
+    nodes = nodes.select("s1", "s2", "n", "least", "need", "rep", F.coalesce("rep", -F.abs(F.shiftright("s1", 1)) - 2).alias("node"))
     sizes = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("sets"))
-    nodes = nodes.join(sizes, "least").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / MAX_GROUP).cast("long")))
-    nodes = nodes.withColumn("grp", F.xxhash64("least", "block")).withColumn("sets", F.least("sets", F.lit(MAX_GROUP).cast("long")))
-    nodes = staged(nodes, "jaccard-nodes")
-    slim_nodes = nodes.select("s1", "s2", "node", "grp", "sets", F.col("rep").alias("node_rep"))
-    # the matrix: tokens of one row of each set
-    once = rows.filter("n > 0").join(slim_nodes, ["s1", "s2"]).filter(F.col("id").eqNullSafe(F.col("node_rep")))
-    cells = once.select("node", "grp", "sets", "n", F.explode(F.array(F.struct(F.col("k0").alias("k"), F.col("t0").alias("t")), F.struct(F.col("k1").alias("k"), F.col("t1").alias("t")))).alias("x")).filter("x.t is not null")
-    cells = cells.select("node", "grp", "sets", "n", F.col("x.k").alias("k"), F.explode("x.t").alias("token"))
-    parts = F.create_map(*[F.lit(y) for k in range(80) for y in (k, parts_of(k, percent))])
-    matrix = cells.groupBy("token", "grp").agg(F.first("sets").alias("sets")).select("token", F.col("grp").alias("other"), F.col("sets").alias("other_sets"))
-    most = F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / F.lit(100 + percent) + F.lit(1e-9))
-    opened = (
-        cells.join(matrix, "token")
-        .filter(F.struct("sets", "grp") < F.struct(F.col("other_sets").alias("sets"), F.col("other").alias("grp")))
-        .groupBy("node", "n", "k", "other").agg(F.count(F.lit(1)).alias("overlap"))
-        .filter(F.col("overlap") >= parts[F.col("k")] - most)
-        .select("node", F.col("other").alias("grp"), F.lit(False).alias("member")).distinct()
-    )
-    opened = staged(opened, "jaccard-opened")
+    nodes = staged(nodes.join(sizes, "least"), "jaccard-nodes")
+    # tokens that two sets share; most tokens are in one set alone
+    same = Window.partitionBy("token")
+    cells = texts.select("text").transform(mapped, spread, "token long, s1 long")
+    cells = cells.withColumns({"low": F.min("s1").over(same), "high": F.max("s1").over(same)}).filter("low <> high").select("token", "s1").distinct()
+    cells = staged(cells.join(nodes.select("s1", "node"), "s1").select("token", "node"), "jaccard-cells")
+    # a set whose least shingle is its own moves to the larger group that holds most of its tokens, counting
+    # for each token only the largest group: one row for each cell
+    info = cells.join(nodes.select("node", "n", F.col("least").alias("grp"), "sets"), "node")
+    largest = info.groupBy("token").agg(F.max(F.struct("sets", "grp")).alias("top")).select("token", F.col("top.sets").alias("other_sets"), F.col("top.grp").alias("other"))
+    moves = info.join(largest, "token").filter("other_sets > sets").groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("c"))
+    moves = moves.filter(F.col("c") >= MOVE * (100 - percent) / 100 * F.col("n")).groupBy("node").agg(F.max(F.struct("c", "other")).alias("to")).select("node", F.col("to.other").alias("to"))
+    placed = nodes.select("node", "need", "least").join(moves, "node", "left").withColumn("family", F.coalesce("to", "least"))
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("sets"))
+    placed = placed.join(sizes, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / MAX_GROUP).cast("long"))))
+    placed = staged(placed.select("node", "need", "grp", "sets"), "jaccard-groups")
+    # of two groups that share tokens the smaller one's sets ask the other
+    cells = cells.join(placed, "node")
+    between = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
+    cells = staged(cells.join(between, "token"), "jaccard-between")
+    matrix = cells.groupBy("token", "grp").agg(F.first("sets").alias("other_sets")).withColumnRenamed("grp", "other")
+    asked = cells.join(matrix, "token").filter(F.struct("sets", "grp") < F.struct(F.col("other_sets").alias("sets"), F.col("other").alias("grp")))
+    opened = staged(_qualifying(asked).select("node", F.col("other").alias("grp")), "jaccard-opened")
     used = opened.select("grp").distinct().withColumn("used", F.lit(True))
-    members = nodes.join(used, "grp", "left").filter((F.col("sets") > 1) | F.col("used")).select("node", "grp", F.lit(True).alias("member"))
-    tasks_of = members.unionByName(opened).join(nodes.select("node", "s1", "s2", "rep"), "node")
-    deliver = tasks_of.groupBy("node", "rep").agg(F.collect_list(F.struct("grp", "member")).alias("to"))
-    # a text of each set, by its node's id; nodes without an id take theirs from the row of the same set
-    texts_by_id = texts.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    doubled = staged(texts_by_id.filter("c > 1").select("id"), "jaccard-doubled")
-    plain = texts.join(deliver.filter("rep is not null"), F.col("id") == F.col("rep")).join(F.broadcast(doubled) if doubled.limit(100_000).count() < 100_000 else doubled, "id", "left_anti").select("node", "to", "text")
-    odd = texts.join(doubled.withColumn("twice", F.lit(True)), "id", "left").filter("twice or id is null").select("text")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [xxhash.xxh3_128_intdigest(shingles(t.as_py(), width).tobytes()) for t in b.column(0)]
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), longs([x & (2**64 - 1) for x in names]), longs([x >> 64 for x in names])], ["text", "s1", "s2"])
-
-    named = odd.mapInArrow(name, "text string, s1 long, s2 long").groupBy("s1", "s2").agg(F.min("text").alias("text"))
-    special = nodes.join(doubled.withColumnRenamed("id", "rep"), "rep", "left_semi").unionByName(nodes.filter("rep is null")).select("s1", "s2", "node")
-    extra = named.join(special, ["s1", "s2"]).join(deliver, "node").select("node", "to", "text")
-    sent = plain.unionByName(extra).select("node", "text", F.explode("to").alias("x")).select("node", "text", "x.grp", "x.member")
-    edges = staged(by_group(sent, "grp", _open(percent, width), "a long, b long"), "jaccard-links")
+    members = placed.join(used, "grp", "left").filter((F.col("sets") > 1) | F.col("used")).select("node", "grp")
+    edges = staged(_compare(texts, nodes, members, opened, percent, width), "jaccard-links")
     reached = components(edges, "jaccard-round")
     found = nodes.select("s1", "s2", "node", "rep").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
