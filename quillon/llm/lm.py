@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import mapped, staged, table
 
 #: Least share of the background's tokens of a listed word and of a listed bigram.
 WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
@@ -82,7 +82,7 @@ def _count(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
         if size:
             yield summed()
 
-    return texts.mapInArrow(run, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return texts.transform(mapped, run, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             cols = [pa.array([x[0] for x in found], pa.int64()), *(pa.array([f(x) if x[0] else None for x in found], pa.float64()) for f in (lambda x: x[1], lambda x: x[2], lambda x: x[1] - x[2]))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import mapped, staged, table
 from quillon.llm.grouped import by_group, components
 
 #: Bound of the sample that centres are fit on, so of what is broadcast; members aimed at in a shard.
@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v"))
-    rows = staged(rows.mapInArrow(_units, "id long, label string, unit binary"), "vectors")
+    rows = staged(rows.transform(mapped, _units, "id long, label string, unit binary"), "vectors")
     good = rows.filter("unit is not null and label is not null")
     nodes = good.withColumn("label", F.concat(F.octet_length("unit").cast("string"), F.lit(":"), "label")).groupBy("label", "unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
     nodes = staged(nodes.withColumn("node", F.coalesce("rep", -F.abs(F.shiftright(F.xxhash64("label", "unit"), 1)) - 2)), "vector-nodes")
@@ -191,7 +191,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             some = b.take(pa.array(take, pa.int32()))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cluster, pa.int32()), pa.array(home, pa.bool_())], ["label", "unit", "node", "times", "cluster", "home"])
 
-    placed = staged(nodes.select("label", "unit", "node", "times").mapInArrow(assign, "label string, unit binary, node long, times long, cluster int, home boolean"), "vector-shards")
+    placed = staged(nodes.select("label", "unit", "node", "times").transform(mapped, assign, "label string, unit binary, node long, times long, cluster int, home boolean"), "vector-shards")
     sizes = placed.groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("long").alias("blocks"))
     placed = placed.join(sizes, ["label", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = placed.withColumn("shard", F.xxhash64("label", "cluster", "block"))
@@ -215,7 +215,7 @@ def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_
     """expected and found numbers of links of the queries, the rows whose id `every` divides, by brute
     force against all rows; the queries go along in blocks of 1,024."""
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v")).mapInArrow(_units, "id long, label string, unit binary").filter("unit is not null and label is not null and id is not null")
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].alias("v")).transform(mapped, _units, "id long, label string, unit binary").filter("unit is not null and label is not null and id is not null")
     queries = rows.filter(F.col("id") % every == 0).withColumn("block", F.floor(F.row_number().over(Window.orderBy("id")) / 1024)).toPandas()
     parts = []
     for _, q in queries.groupby(["block", queries.unit.map(len)]):
@@ -229,7 +229,7 @@ def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_
                         n += (labels == label) & (ids != i) & (units @ np.frombuffer(unit.as_py(), np.float64) >= threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
-        parts.append(rows.mapInArrow(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
+        parts.append(rows.transform(mapped, compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")))
     if not parts:
         return spark.createDataFrame([(0, 0)], "expected long, found long")
     all_ = parts[0]

@@ -24,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import table
+from quillon.llm.common import mapped, table
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 KEY = 16  # bytes of a suffix that are sorted; pieces that are longer compare their rest
-CHUNK_CHARS = 1 << 21  # characters of text whose units are held at a time
-MEMO_UNITS = 200_000  # units met again that a worker remembers; it forgets all when full
-MEMO_PAIRS = 1_000_000
+CHUNK_CHARS = 1 << 20  # characters of text whose units are held at a time
+LEARN_CHARS = 1 << 18  # characters of new units that are matched at a time
+MEMO_UNITS = 60_000  # units met again that a worker remembers; it forgets all when full
+MEMO_PAIRS = 200_000
 TABLE_BITS = 20
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 BREAK = b"\xfe"
@@ -82,10 +83,11 @@ class Encoder:
 
     def beside(self, a: int, b: int) -> bool:
         """Whether a then b is how the two pieces' text is encoded."""
-        if (found := self.pairs.get((a, b))) is None:
+        key = a << 32 | b
+        if (found := self.pairs.get(key)) is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(self.raw[a] + self.raw[b]) == [a, b]
+            found = self.pairs[key] = self.merged(self.raw[a] + self.raw[b]) == [a, b]
         return found
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +189,7 @@ class Encoder:
             new, now, at = [u for u in times if u not in self.units], {}, 0
             while at < len(new):  # a bounded part at a time, or one unit
                 end, chars = at, 0
-                while end < len(new) and (end == at or chars + len(new[end]) < CHUNK_CHARS // 2):
+                while end < len(new) and (end == at or chars + len(new[end]) < LEARN_CHARS):
                     chars += len(new[end])
                     end += 1
                 now.update(zip(new[at:end], self.learn(new[at:end]), strict=True))
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 values = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(np.diff(ends).astype(np.int64)), pa.array(same, pa.bool_())], [id_col, "ids", "n_tokens", "round_trip"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
@@ -258,7 +260,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
             texts = [None if x is None else decode_ids(x, as_bytes) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return encoded.select(encoded[id_col], encoded[ids_col]).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(encoded[id_col], encoded[ids_col]).transform(mapped, run, f"`{id_col}` {kind}, text string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

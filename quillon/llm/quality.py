@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import mapped, table
 from quillon.llm.labelled import bounded_ids, held_out, texts_of, training_labels
 from quillon.llm.rules import repeat_words
 
@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [features(t.as_py(), press).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["kind", "x"])
 
-    found = texts_of(docs, positives.unionByName(others), id_col, text_col).select("kind", "text").mapInArrow(run, "kind int, x binary").toPandas()
+    found = texts_of(docs, positives.unionByName(others), id_col, text_col).select("kind", "text").transform(mapped, run, "kind int, x binary").toPandas()
     p, u = (np.frombuffer(b"".join(found.x[found.kind == k]), np.float32).reshape(-1, DIMS).astype(np.float64) for k in (1, 0))
     if not len(p) or not len(u):
         return {"w": np.zeros(DIMS), "b": math.log(prior / (1 - prior)), "mean": np.zeros(DIMS), "scale": np.ones(DIMS), "prior": prior}
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     first = F.struct("*") if keep_row else docs[id_col]
     chosen = docs.select(first.alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    scored = chosen.mapInArrow(run, f"id {kind}, score double")
+    scored = chosen.transform(mapped, run, f"id {kind}, score double")
     return scored.withColumnRenamed("id", "row" if keep_row else id_col)
 
 

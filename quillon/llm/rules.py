@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import ASCII_SPACE, table
+from quillon.llm.common import ASCII_SPACE, mapped, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -84,7 +84,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(found, types, strict=True))], names)
 
     names = [id_col, *(x.split()[0] for x in COLUMNS.split(", "))]
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, {COLUMNS}")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

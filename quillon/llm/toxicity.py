@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import mapped, staged, table
 from quillon.llm.labelled import bounded_ids, held_out, texts_of, training_labels
 
 #: Bounds of a fit: texts of each label, and words of the vocabulary.
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             once = [sorted(w.decode("latin-1") for w in features_of(x)) for x in found]  # any bytes have a name
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int32()), pa.array(once, pa.list_(pa.string()))], ["y", "n", "words"])
 
-    rows = staged(texts_of(docs, ids, id_col, text_col).select("y", "text").mapInArrow(split, "y int, n int, words array<string>"), "toxicity-texts")
+    rows = staged(texts_of(docs, ids, id_col, text_col).select("y", "text").transform(mapped, split, "y int, n int, words array<string>"), "toxicity-texts")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0)).alias("bad")).first()
     nothing = {"vocab": {}, "w": np.zeros(0), "cut": np.array([30.0, 31.0, 32.0])}
     if not sums.bad or sums.bad == sums.n:
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             above = 1 / (1 + np.exp(-np.clip(z[:, None] - cut[None, :], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], [id_col, "severity", "p_toxic", "toxic"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, severity double, p_toxic double, toxic boolean")
+    return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, severity double, p_toxic double, toxic boolean")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
