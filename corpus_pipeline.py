@@ -46,7 +46,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, by shard and in the shard's order. A document that meets
     its source's target in the middle ends after the words that the mix takes."""
-    mixed = mixing.mix(docs, keep=tuple(docs.columns)).select("kept", "size", F.explode("draws").alias("draw"))
+    mixed = mixing.mix(docs, keep=tuple(docs.columns)).filter("taken > 0").select("kept", "size", F.explode("draws").alias("draw"))
     words = F.filter(F.split(F.col("kept.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("kept.text"))
     new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mapped, staged, table
+from quillon.llm.common import discard, mapped, staged, table
 from quillon.llm.grouped import by_group, components
 
 #: Ratio of a size class; more sets than this in a group are split into blocks.
@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = Window.partitionBy("token")
     cells = texts.select("text").transform(mapped, spread, "token long, s1 long")
     cells = cells.withColumns({"low": F.min("s1").over(same), "high": F.max("s1").over(same)}).filter("low <> high").select("token", "s1").distinct()
-    cells = staged(cells.join(nodes.select("s1", "node"), "s1").select("token", "node"), "jaccard-cells")
+    cells = once = staged(cells.join(nodes.select("s1", "node"), "s1").select("token", "node"), "jaccard-cells")
     # a set whose least shingle is its own moves to the larger group that holds most of its tokens, counting
     # for each token only the largest group: one row for each cell
     info = cells.join(nodes.select("node", "n", F.col("least").alias("grp"), "sets"), "node")
@@ -255,9 +255,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = cells.join(placed, "node")
     between = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
     cells = staged(cells.join(between, "token"), "jaccard-between")
+    discard(once)
     matrix = cells.groupBy("token", "grp").agg(F.first("sets").alias("other_sets")).withColumnRenamed("grp", "other")
     asked = cells.join(matrix, "token").filter(F.struct("sets", "grp") < F.struct(F.col("other_sets").alias("sets"), F.col("other").alias("grp")))
     opened = staged(_qualifying(asked).select("node", F.col("other").alias("grp")), "jaccard-opened")
+    discard(cells)
     used = opened.select("grp").distinct().withColumn("used", F.lit(True))
     members = placed.join(used, "grp", "left").filter((F.col("sets") > 1) | F.col("used")).select("node", "grp")
     edges = staged(_compare(texts, nodes, members, opened, percent, width), "jaccard-links")

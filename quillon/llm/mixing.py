@@ -110,10 +110,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source's taken words are its target, rounded down to a whole word.
     """
     spark = docs.sparkSession
-    kept = F.struct(*[docs[c] for c in keep]) if keep else F.lit(0)
     order = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("size"))
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), kept.alias("kept"))
-    rows = staged(rows.withColumn("key", order), "mix-sizes")
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), *([F.struct(*[docs[c] for c in keep]).alias("kept")] if keep else []))
+    # the number of a row is written with it, so it stays; texts wait in that table until the draws are known
+    whole = staged(rows.withColumns({"key": order, "at_row": F.monotonically_increasing_id()}), "mix-sizes")
+    rows = whole.select("id", "source", "size", "key", "at_row")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row for each source
     sums.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
     sizes = [r["size"] for r in sums]
@@ -147,9 +148,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.struct(words.alias("words"), F.least(shard, F.lit(shards - 1)).alias("shard"), F.xxhash64(F.lit(seed), n, F.col("key"), block).alias("place"))
 
     draws = F.filter(F.transform(F.array(*[F.lit(i).cast("long") for i in range(math.ceil(cap))]), draw), lambda d: d["words"] > 0)
-    out = placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "kept", draws.alias("draws"))
+    out = placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "at_row", draws.alias("draws"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda x, d: x + d["words"])
-    return out.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["kept"] if keep else []))
+    out = out.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "draws", "at_row")
+    return out.join(whole.select("at_row", "kept"), "at_row").drop("at_row") if keep else out.drop("at_row")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged, table
+from quillon.llm.common import discard, mapped, staged, table
 from quillon.llm.grouped import by_group
 
 SEED, MAX_GROUP, BUCKET, SEGMENT = 100, 1500, 2048, 1 << 21
@@ -184,13 +184,15 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                     cols = [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays([_longs(cols[0]), _longs(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["g", "c", "t1", "t2", "start", "last"])
 
-    found = staged(docs.select(docs[text_col].alias("text")).mapInArrow(find, "g long, c long, t1 long, t2 long, start long, last long"), "repeat-anchors")
-    often = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    found = staged(docs.select(docs[text_col].alias("text")).transform(mapped, find, "g long, c long, t1 long, t2 long, start long, last long"), "repeat-anchors")
+    # written by itself, so that the join deals both sides anew and a seed of very many rows can be split
+    often = staged(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "repeat-often")
     shared = staged(found.join(often, "g"), "repeat-shared")
+    discard(found, often)
     contexts = shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "start", "last")).alias("at"))
     contexts = staged(contexts, "repeat-contexts")
     whole = shared.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("t1", "t2", "start", "last").distinct()
-    mixed = contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    mixed = staged(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeat-mixed-seeds")
     need = staged(contexts.join(mixed, "g").select("g", "m", "at.*"), "repeat-mixed")
     total = need.count()
     if not total:
@@ -218,8 +220,8 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 yield _batch([("g", pa.int64()), ("m", pa.int64()), *SPANS[:3], ("bytes", pa.binary())], rows)
 
     lists = need.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "m", "start", "last")).alias("places"))
-    named = docs.select(docs[text_col].alias("text")).mapInArrow(name, "t1 long, t2 long, z binary")
-    cuts = staged(named.join(lists, ["t1", "t2"]).mapInArrow(cut, "g long, m long, t1 long, t2 long, start long, bytes binary"), "repeat-bytes")
+    named = docs.select(docs[text_col].alias("text")).transform(mapped, name, "t1 long, t2 long, z binary")
+    cuts = staged(named.join(lists, ["t1", "t2"]).transform(mapped, cut, "g long, m long, t1 long, t2 long, start long, bytes binary"), "repeat-bytes")
 
     def sort(group: pa.Table) -> Iterator[pa.RecordBatch]:
         once = dict(zip(zip(*(group[c].to_pylist() for c in ("g", "t1", "t2", "start")), strict=True), group["bytes"].to_pylist(), strict=True))
@@ -251,7 +253,7 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(h.view(np.int64)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(start + np.arange(n))], ["g", "h", "t1", "t2", "start"])
 
-    each = cuts.filter(F.col("m") > MAX_GROUP).select("g", "t1", "t2", "start", "bytes").mapInArrow(strings, "g long, h long, t1 long, t2 long, start long").distinct()
+    each = cuts.filter(F.col("m") > MAX_GROUP).select("g", "t1", "t2", "start", "bytes").transform(mapped, strings, "g long, h long, t1 long, t2 long, start long").distinct()
     twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "h")
     return parts.unionByName(each.join(twice, ["g", "h"]).select("t1", "t2", "start", F.col("start").alias("last")))
 
@@ -295,8 +297,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rest = _batch([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())], out)
                 yield pa.RecordBatch.from_arrays([b.column(0), *rest.columns], ["id", *rest.schema.names])
 
-    named = chosen.mapInArrow(name, f"id {kind}, t1 long, t2 long, z binary")
-    done = named.join(spans, ["t1", "t2"], "left").select("id", "z", "spans").mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    named = chosen.transform(mapped, name, f"id {kind}, t1 long, t2 long, z binary")
+    done = named.join(spans, ["t1", "t2"], "left").select("id", "z", "spans").transform(mapped, apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return done.withColumnRenamed("id", "row") if keep_text else done.drop("kept_text").withColumnRenamed("id", id_col)
 
 
