@@ -4,14 +4,19 @@
    node is indexed: it joins the shards of its OVERLAP nearest centres, the nearest is its home.
 2. In a shard each node's nearest members are pruned robustly: a candidate goes if a kept neighbour is
    clearly nearer to it than the node is. Adjacency lists of a node are united over its shards.
-3. Every node searches its home shard: greedily with a beam from the shard's medoid and its own
-   neighbours, then expanding everything within reach of the threshold until nothing new turns up.
-4. Each shard audits itself: some queries are compared with brute force, and where one misses a link the
-   shard searches again with twice the beam, at last through all members.
-5. What is found is verified by the exact cosine. Links are counted where they are found, and only a
-   spanning forest of them leaves the shard, so a dense group never becomes all its pairs.
-
-Shards of more than MAX_SHARD members are split into blocks; a home's queries go to each of its blocks.
+3. Every node searches the shards of its nearest centres. How many, a label's audit tells: a bounded sample
+   is compared with every node of the label, whatever its shard, and MARGIN times as many are searched as
+   its furthest link needs, up to all. If the bisectors of the centres prove that fewer shards can be the
+   home of a linked node, only these are searched, which loses nothing.
+4. A search goes greedily with a beam from the shard's medoid and the node's neighbours, then expands
+   everything within reach of the threshold until nothing new turns up. Each shard audits its beam: some
+   queries are compared with brute force, and where one misses a link the shard searches again with twice
+   the beam, at last through all members.
+5. What is found is verified by the exact cosine. A link counts in the first searched shard that holds its
+   other end, and for that end too if it doesn't search a shard that holds the first. Only a spanning forest
+   of the links leaves the shard, so a dense group never becomes all its pairs.
+
+Shards of more than MAX_SHARD members are split into blocks; a shard's queries go to each of its blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from quillon.llm.grouped import by_group, components
 #: Bound of the sample that centres are fit on, so of what is broadcast; members aimed at in a shard.
 MAX_SAMPLE, SHARD, MAX_SHARD, OVERLAP = 8192, 256, 2048, 3
 DEGREE, NEAREST, ALPHA, BEAM, AUDITED = 24, 48, 1.2, 24, 8
+#: Nodes that are compared with all others of their label, and how often the shards that their links need are searched.
+SAMPLED, MARGIN = 2048, 2
 #: Below the threshold by this much a node is still expanded.
 SLACK = 0.12
 
@@ -44,6 +51,27 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def ranked(units: np.ndarray, centres: np.ndarray | None) -> np.ndarray:
+    """The centres of each row, the nearest first; one shard where a label has no centres."""
+    if centres is None:
+        return np.zeros((len(units), 1), np.int64)
+    return np.argsort(-(units @ centres.T), axis=1, kind="stable")
+
+
+def searched(unit: np.ndarray, order: np.ndarray, centres: np.ndarray | None, many: int, threshold: float) -> np.ndarray:
+    """The centres whose shards a vector searches, of its centres in their order: the first `many`, or, if
+    they are no more, all that can be the nearest centre of a vector within the threshold.
+
+    Such a vector lies on the other side of the bisector of that centre and the first one, so the sine of
+    the angle to the bisector is at most that of the threshold.
+    """
+    if centres is None or threshold < 0:
+        return order
+    gap, sim = np.linalg.norm(centres[order] - centres[order[0]], axis=1), centres[order] @ unit
+    able = order[sim[0] - sim <= np.sqrt(max(0.0, 1 - threshold * threshold)) * gap + 1e-9]
+    return able if len(able) <= many else order[:many]
+
+
 def robust_prune(sim: np.ndarray) -> list[np.ndarray]:
     """Neighbours of each row of a similarity matrix of unit vectors."""
     n = len(sim)
@@ -81,8 +109,15 @@ def _search(threshold: float):
         node, member = group["node"].to_numpy(), group["member"].to_numpy(zero_copy_only=False).astype(bool)
         unit = np.stack([np.frombuffer(x.as_py(), np.float64) for x in group["unit"]])
         mine, queries = np.flatnonzero(member), np.flatnonzero(group["query"].to_numpy(zero_copy_only=False).astype(bool))
-        v, ids, times = unit[mine], node[mine], group["times"].to_numpy()[mine]
+        count = group["times"].to_numpy()
+        v, ids, times = unit[mine], node[mine], count[mine]
         at = {int(x): i for i, x in enumerate(ids)}
+        clusters = np.array([(x.as_py() * OVERLAP)[:OVERLAP] for x in group["clusters"]])
+        probes = [np.array(x.as_py()) for x in group["probes"]]
+        wide = np.full((len(mine), max(map(len, probes))), -1)
+        for i, j in enumerate(mine):
+            wide[i, : len(probes[j])] = probes[j]
+        here = group["cluster"][0].as_py()
         lists = [np.array([at[y] for y in (x.as_py() or ()) if y in at], np.int64) for x in group["near"]]
         graph = [lists[j] for j in mine]
         n = len(v)
@@ -105,8 +140,8 @@ def _search(threshold: float):
                     if len(seen) > beam:
                         seen = seen[np.argpartition(-sim[seen], beam - 1)[:beam]]
                     step = seen[open_[seen]]
-                    wide = np.flatnonzero(open_ & (sim >= threshold - SLACK))
-                    step = np.union1d(step[np.argsort(-sim[step])[:4]], wide)
+                    reach = np.flatnonzero(open_ & (sim >= threshold - SLACK))
+                    step = np.union1d(step[np.argsort(-sim[step])[:4]], reach)
                     if not len(step):
                         break
                     open_[step] = False
@@ -126,7 +161,11 @@ def _search(threshold: float):
         comp, out = np.arange(n), []
         for j in queries:
             hit = found(j, beam)
-            out.append((int(node[j]), int(times[hit].sum()), None))
+            before = probes[j][: int(np.flatnonzero(probes[j] == here)[0])]
+            new = hit[~np.isin(clusters[mine[hit]], before).any(1)]
+            out.append((int(node[j]), int(times[new].sum()), None))
+            one_way = new[~np.isin(wide[new], clusters[j]).any(1)]
+            out += [(int(ids[i]), int(count[j]), None) for i in one_way]
             if (own := at.get(int(node[j]))) is None:
                 marks = np.unique(comp[hit], return_index=True)[1]
                 out += [(int(node[j]), 0, int(ids[hit[i]])) for i in marks]
@@ -172,34 +211,63 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = good.withColumn("label", F.concat(F.octet_length("unit").cast("string"), F.lit(":"), "label")).groupBy("label", "unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
     nodes = staged(nodes.withColumn("node", F.coalesce("rep", -F.abs(F.shiftright(F.xxhash64("label", "unit"), 1)) - 2)), "vector-nodes")
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(MAX_SAMPLE).select("label", "unit").toPandas()
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(MAX_SAMPLE).select("label", "unit", "node").toPandas()
     centres = {}
     for label, part in sample.groupby("label", sort=True):
         x = np.stack([np.frombuffer(u, np.float64) for u in part.unit])
         centres[label] = fit_centres(x, max(1, min(len(x) // 4, round(len(x) / len(sample) * total / SHARD))))
-    shared = spark.sparkContext.broadcast(centres)
+    audited = {}
+    for label, part in sample[:SAMPLED].groupby("label", sort=True):
+        x = np.stack([np.frombuffer(u, np.float64) for u in part.unit])
+        audited[label] = part.node.to_numpy(), x, ranked(x, centres[label]).argsort(axis=1).astype(np.int16)
+    shared, probed = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(audited)
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many of the audited links need how many shards, by label."""
+        sums: dict[tuple[str, int], int] = {}
+        for b in batches:
+            labels = np.array(b.column(0).to_pylist(), object)
+            for label in set(labels) & probed.value.keys():
+                at = np.flatnonzero(labels == label)
+                node, x, rank = probed.value[label]
+                u = np.stack([np.frombuffer(b.column(1)[int(i)].as_py(), np.float64) for i in at])
+                own = b.column(2).to_numpy()[at]
+                i, j = np.nonzero((u @ x.T >= threshold) & (own[:, None] != node))
+                near = ranked(u, shared.value[label])[:, :OVERLAP]
+                for need, n in zip(*np.unique(rank[j[:, None], near[i]].min(1), return_counts=True), strict=True):
+                    sums[label, int(need) + 1] = sums.get((label, int(need) + 1), 0) + int(n)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["label", "need", "n"])
+
+    most = {r.label: r.need for r in nodes.select("label", "unit", "node").transform(mapped, needs, "label string, need int, n long").groupBy("label").agg(F.max("need").alias("need")).collect()}
+    many = {label: max(OVERLAP, MARGIN * most.get(label, 1)) for label in centres}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            take, cluster, home = [], [], []
+            take, cluster, near, probes = [], [], [], []
             for i, (label, unit) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                c = shared.value.get(label)
-                near = [0] if c is None else np.argsort(-(c @ np.frombuffer(unit.as_py(), np.float64)), kind="stable")[:OVERLAP].tolist()
-                take += [i] * len(near)
-                cluster += near
-                home += [True] + [False] * (len(near) - 1)
+                c, x = shared.value.get(label), np.frombuffer(unit.as_py(), np.float64)
+                order = ranked(x[None], c)[0]
+                ask = searched(x, order, c, many.get(label, 1), threshold).tolist()
+                own = order[:OVERLAP].tolist()
+                both = list(dict.fromkeys(own + ask))
+                take += [i] * len(both)
+                cluster += both
+                near += [own] * len(both)
+                probes += [ask] * len(both)
             some = b.take(pa.array(take, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cluster, pa.int32()), pa.array(home, pa.bool_())], ["label", "unit", "node", "times", "cluster", "home"])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cluster, pa.int32()), pa.array(near, ints), pa.array(probes, ints)], ["label", "unit", "node", "times", "cluster", "clusters", "probes"])
 
-    placed = staged(nodes.select("label", "unit", "node", "times").transform(mapped, assign, "label string, unit binary, node long, times long, cluster int, home boolean"), "vector-shards")
-    sizes = placed.groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("long").alias("blocks"))
+    placed = staged(nodes.select("label", "unit", "node", "times").transform(mapped, assign, "label string, unit binary, node long, times long, cluster int, clusters array<int>, probes array<int>"), "vector-shards")
+    placed = placed.withColumn("member", F.array_contains("clusters", F.col("cluster"))).withColumn("query", F.array_contains("probes", F.col("cluster")))
+    sizes = placed.filter("member").groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / MAX_SHARD).cast("long").alias("blocks"))
     placed = placed.join(sizes, ["label", "cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = placed.withColumn("shard", F.xxhash64("label", "cluster", "block"))
+    members = placed.filter("member").withColumn("shard", F.xxhash64("label", "cluster", "block"))
     near = staged(by_group(members.select("shard", "node", "unit"), "shard", _build, "node long, near array<long>"), "vector-lists")
     united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists at most
-    elsewhere = placed.filter("home and blocks > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to")).filter("to <> block")
-    elsewhere = elsewhere.select(F.xxhash64("label", "cluster", "to").alias("shard"), "node", "unit", "times", F.lit(False).alias("member"), F.lit(True).alias("query"))
-    asked = members.select("shard", "node", "unit", "times", F.lit(True).alias("member"), F.col("home").alias("query")).unionByName(elsewhere).join(united, "node", "left")
+    asked = placed.select("*", F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("to"))
+    asked = asked.select(F.xxhash64("label", "cluster", "to").alias("shard"), "node", "unit", "times", "cluster", "clusters", "probes", (F.col("member") & (F.col("to") == F.col("block"))).alias("member"), "query").join(united, "node", "left")
     found = staged(by_group(asked, "shard", _search(threshold), "node long, links long, other long"), "vector-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-round")

@@ -162,6 +162,21 @@ def test_near_duplicates(spark, monkeypatch):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_many_shards(spark, monkeypatch):
+    """Links of unclustered vectors, whose ends are mostly near to different ones of hundreds of centres."""
+    monkeypatch.setattr(neighbours, "SHARD", 12)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1500, 64))
+    side -= (side * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    x[1500:] = 0.935 * x[:1500] + np.sqrt(1 - 0.935**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    near = x @ x.T >= 0.93
+    assert got == {i: (int(near[i].sum()) - 1, i % 1500) for i in range(3000)}
+
+
 def test_pieces(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
