@@ -1,24 +1,26 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, of a target corpus and of the whole corpus as background, share one
-vocabulary: the words and the bigrams whose share of the background's tokens is at least a given one.
-So either list has at most 1 / share entries whatever the input, which bounds what is broadcast, while
-counts run over all documents. A rarer word is the unknown word, a rarer bigram backs off to its word.
-A document's score is the mean over its tokens of target loss less background loss, in nats: the lower,
+vocabulary. score_all() keeps every word and bigram that was counted: the counts are a written table, dealt by
+hash into buckets, and each document asks each bucket for the counts of its distinct words and bigrams, so
+nothing but sums is gathered or broadcast. train() and score() are for a model that travels: it lists the
+words and the bigrams whose share of the background's tokens is at least a given one; a rarer word is the
+unknown word, a rarer bigram backs off to its word. A document's score is the mean over its tokens of target loss less background loss, in nats: the lower,
 the closer to the target.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import mapped, staged, table
+from quillon.llm.common import discard, mapped, staged, table, tasks
+from quillon.llm.grouped import by_group
 
 #: Least share of the background's tokens of a listed word and of a listed bigram.
 WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
@@ -54,8 +56,14 @@ def listed(words: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     return np.where(vocab[at] == words, words, np.uint64(UNKNOWN))
 
 
-def _count(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
-    """h, all, target: summed counts of words (vocab None), or of bigrams over vocab, each task's sums first."""
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, even, and of each word but the first with the one before it, odd."""
+    words = word_hashes(text) & ~np.uint64(1)
+    return words, pair_hashes(words)[1:] | np.uint64(1)
+
+
+def _count(texts: DataFrame, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
+    """h, all, target: summed counts of the hashes of texts, each task's sums first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[np.ndarray]] = {True: [], False: []}
@@ -71,9 +79,7 @@ def _count(texts: DataFrame, vocab: np.ndarray | None) -> DataFrame:
 
         for b in batches:
             for text, target in zip(b.column(0), b.column(1), strict=True):
-                x = word_hashes(text.as_py())
-                if vocab is not None:
-                    x = pair_hashes(listed(x, vocab))
+                x = hashes(text.as_py())
                 held[target.as_py()].append(x)
                 size += len(x)
                 if size >= HELD:
@@ -92,16 +98,21 @@ def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order], found.n.to_numpy(np.float64)[order], found.t.to_numpy(np.float64)[order]
 
 
-def train(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> dict:
-    """Both models. docs is the background; targets has the ids (column id_col) of its target documents."""
+def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and whether targets has the id, of every row of docs."""
     ids = targets.select(targets[id_col].alias("id")).filter(F.col("id").isNotNull()).distinct().withColumn("target", F.lit(True))
     if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    words = staged(_count(texts, None), "lm-words")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def train(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> dict:
+    """Both models. docs is the background; targets has the ids (column id_col) of its target documents."""
+    texts = _marked(docs, targets, id_col, text_col).select("text", "target")
+    words = staged(_count(texts, word_hashes), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     vocab, n, t = _sorted(words.filter(F.col("n") >= word_share * total.n))
-    pairs, pair_n, pair_t = _sorted(_count(texts, vocab).filter(F.col("n") >= pair_share * total.n))
+    pairs, pair_n, pair_t = _sorted(_count(texts, lambda text: pair_hashes(listed(word_hashes(text), vocab))).filter(F.col("n") >= pair_share * total.n))
     unknown = [max(0.0, total.n - n.sum()), max(0.0, total.t - t.sum())]
     model = {"vocab": vocab, "pairs": pairs, "size": len(vocab) + 1}
     for name, one, two, rest, all_ in (("background", n, pair_n, unknown[0], total.n), ("target", t, pair_t, unknown[1], total.t)):
@@ -151,7 +162,86 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
+def _asked(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct hashes by bucket, and their buckets."""
+    u = np.unique(np.concatenate(grams(text)))
+    bucket = ((u >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return u[order], bucket[order]
+
+
+def _answer(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The counts of one bucket's hashes for each document that asks. Those found once in all documents aren't
+    in the table: whoever asks for one has it, and t of an asking row is whether it is a target."""
+    known = group.filter(group["row"].is_null())
+    h = known["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    h, counts = h[order], np.stack([known["n"].to_numpy()[order], known["t"].to_numpy()[order]])
+    bucket = group["bucket"][0].as_py()
+    for b in group.filter(group["row"].is_valid()).select(["row", "load", "t"]).to_batches():
+        loads = []
+        for x, target in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            q = np.frombuffer(x.as_py(), np.uint64)
+            found = np.repeat(np.array([[1], [target]], np.int64), len(q), axis=1)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, q), len(h) - 1)
+                hit = h[at] == q
+                found[:, hit] = counts[:, at[hit]]
+            loads.append(found.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bucket] * len(loads), pa.int64()), pa.array(loads, pa.binary())], ["row", "bucket", "load"])
+
+
+def score_all(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What score() gives, by models of all words and bigrams of docs, those of targets' ids being the target."""
+    spark = docs.sparkSession
+    kind = docs.select(id_col).schema.fields[0].dataType.simpleString()
+    texts = staged(_marked(docs, targets, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+    seen, word = Observation(), F.col("h") % 2 == 0
+    counts = _count(texts.select("text", "target"), lambda text: np.concatenate(grams(text)))
+    counts = counts.observe(seen, F.count(F.when(word, 1)).alias("size"), F.sum(F.when(word, F.col("n"))).alias("n"), F.sum(F.when(word, F.col("t"))).alias("t"))
+    counts = staged(counts.filter("n > 1"), "lm-grams")
+    words = seen.get
+    size, totals, buckets = (words["size"] or 0) + 1, (words["t"] or 0, words["n"] or 0), tasks(spark, 12)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keys, loads, marks = [], [], [], []
+            for row, text, target in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                u, bucket = _asked(text.as_py(), buckets)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(u))
+                rows += [row] * (len(cuts) - 1)
+                marks += [int(target)] * (len(cuts) - 1)
+                keys += bucket[cuts[:-1]].tolist()
+                loads += [u[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(loads, pa.binary()), pa.array(marks, pa.int64())], ["bucket", "row", "load", "t"])
+
+    asked = texts.select("row", "text", "target").transform(mapped, deal, "bucket long, row long, load binary, t long")
+    known = counts.select(F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)).cast("long").alias("bucket"), "h", "n", "t")
+    answers = staged(by_group(asked.unionByName(known, allowMissingColumns=True), "bucket", _answer, "row long, bucket long, load binary"), "lm-answers")
+    discard(counts)
+
+    def finish(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, own = group["bucket"].to_numpy(), int(np.flatnonzero(group["bucket"].to_numpy() < 0)[0])
+        words, pairs = grams(group["load"][own].as_py().decode("utf-8", "surrogatepass"))
+        k, out = len(words), [None, None]
+        if k:
+            u, _ = _asked(group["load"][own].as_py().decode("utf-8", "surrogatepass"), buckets)
+            found = np.concatenate([np.frombuffer(group["load"][int(i)].as_py(), np.int64).reshape(2, -1) for i in np.argsort(bucket)[1:]], axis=1).astype(np.float64)
+            order = np.argsort(u)
+            word, pair = (order[np.searchsorted(u[order], x)] for x in (words, pairs))
+            for place, c, total in ((0, found[1], totals[0]), (1, found[0], totals[1])):
+                p = (c[word] + ADDED) / (float(total) + ADDED * size)
+                given = c[word[:-1]]
+                p[1:] = np.where(given > 0, BIGRAM * c[pair] / np.maximum(given, 1.0) + (1 - BIGRAM) * p[1:], p[1:])
+                out[place] = float(-np.log(p).mean())
+        cols = [pa.array([x], pa.float64()) for x in (*out, out[0] - out[1] if k else None)]
+        yield pa.RecordBatch.from_arrays([group["id"].combine_chunks().take(pa.array([own])), pa.array([k], pa.int64()), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    whole = texts.select("row", F.lit(-1).cast("long").alias("bucket"), F.coalesce("text", F.lit("")).cast("binary").alias("load"), "id")
+    return by_group(whole.unionByName(answers, allowMissingColumns=True), "row", finish, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document: the target is what labels.quality marks as good, the background all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return score(docs, train(docs, labels.filter("quality = 1")))
+    return score_all(docs, labels.filter("quality = 1"))

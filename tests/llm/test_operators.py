@@ -350,3 +350,20 @@ def test_lm(spark):
         assert np.allclose(got[i][1:], [*want, want[0] - want[1]]), i
     assert np.mean([got[i][3] for i in range(60, 80)]) < np.mean([got[i][3] for i in range(60)])
     assert lm.score(df.limit(0), lm.train(df.limit(0), targets)).count() == 0
+
+
+def test_lm_keeps_rare_words(spark, tmp_path):
+    """Every counted word and bigram tells: equal to the listed model of all of them, which the shares cut."""
+    rng = random.Random(12)
+    texts = [prose(400, rng) + " " + " ".join(f"w{i}x{k}" for k in range(1500)) for i in range(100)] + ["w3x1 w3x2 rare", *ODD]
+    df = frame(spark, texts)
+    df = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, int(i < 9)) for i in range(60)], "doc_id long, quality int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    cols = "n_tokens", "target_loss", "background_loss", "score"
+    want = by_id(lm.score(df, lm.train(df, labels.filter("quality = 1"), word_share=0, pair_share=0)), *cols)
+    got = by_id(lm.op3_lm_scoring(spark, str(tmp_path)), *cols)
+    assert got.keys() == want.keys() and all(g[0] == want[i][0] for i, g in got.items())
+    assert all(want[i][1:] == g[1:] if not g[0] else np.allclose(g[1:], want[i][1:]) for i, g in got.items())
+    assert lm.score_all(df.limit(0), labels).count() == 0
