@@ -1,15 +1,17 @@
 """Removal of long repeats by a distributed difference-cover suffix array.
 
 Sorting every suffix of a corpus moves many times its bytes, so the work is first cut, exactly, into
-parts that need no merge. Each start of a `length`-byte string is given to one anchor, the leftmost least
-hash of the SEED-byte strings inside it: equal strings have equal anchors at equal distances. Starts
+parts that need no merge. Each start of a string is given to one anchor, the leftmost least hash of the
+SEED-byte strings inside its first `report` bytes: equal strings have equal anchors at equal distances. Starts
 whose anchor's seed occurs once in the corpus can't repeat. An anchor with its starts has a context, the
-bytes that those strings cover; contexts that occur twice repeat as a whole, and of these one is kept.
+bytes that those strings cover; contexts that occur twice repeat as a whole, and of these one is kept. A text
+gives a row for each of its distinct contexts, with the runs of starts where it has it, so a line that
+a text repeats a thousand times is one row.
 
 What is left is sorted by suffix, in buckets of seeds: suffixes at places 1 and 2 modulo 3 are sorted by
 their triples; equal names recurse on the string of names; the remaining suffixes are sorted by their
-first byte and the rank after it and merged; then neighbours' prefixes of `length` bytes are compared. Names
-that already cover `length` bytes need no further recursion.
+first byte and the rank after it and merged; then neighbours' prefixes are compared, those of `report` and those
+of `length` bytes. Names that already cover `length` bytes need no further recursion.
 
 A seed with more than MAX_GROUP different contexts would be one large group; its strings go through a
 shuffle of their hashes instead, which any number of tasks share. Nothing is dropped on either way.
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import discard, mapped, staged, table
 from quillon.llm.grouped import by_group
 
-SEED, MAX_GROUP, BUCKET, SEGMENT = 100, 1500, 2048, 1 << 21
+SEED, MAX_GROUP, BUCKET, SEGMENT = 80, 1500, 2048, 1 << 21
+#: Passages of over 50 words, of four letters and a space or so, have this many bytes at least.
+PASSAGE = 240
 #: Bytes sorted at a time, unless one seed alone has more; names of so many suffixes fit in 21 bits.
 SORTED = 1_400_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -118,23 +122,27 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context the starts of its strings that occur again in these contexts."""
-    text = b"".join(contexts)
+def repeated_starts(contexts: list[bytes], reach: list[int], report: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context its starts up to `reach` whose strings of `report` and of `length` bytes occur again in
+    these contexts. Starts beyond it belong to the next anchor of the text, so they stand in another context."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
     ends = np.cumsum([0, *map(len, contexts)])
-    data = np.frombuffer(text, np.uint8)
-    starts = np.zeros(len(data), bool)
-    for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
-        starts[a : b - length + 1] = True
+    bounds = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))
     order = suffix_order(data.astype(np.uint64) + U(1), length)
-    order = order[starts[order]]
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)[: len(data)]).view("<u8").ravel()
-    same = np.arange(len(order) - 1)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        same = same[eight[order[same] + k] == eight[order[same + 1] + k]]
-    again = np.zeros(len(data), bool)
-    again[order[same]] = again[order[same + 1]] = True
-    return [np.flatnonzero(again[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    found = []
+    for width in dict.fromkeys((report, length)):
+        starts = np.zeros(len(data), bool)
+        for (a, b), far in zip(bounds, reach, strict=True):
+            starts[a : max(a, min(a + far, b - width) + 1)] = True
+        mine = order[starts[order]]
+        same = np.arange(len(mine) - 1)
+        for k in [*range(0, width - 8, 8), width - 8]:
+            same = same[eight[mine[same] + k] == eight[mine[same + 1] + k]]
+        again = np.zeros(len(data), bool)
+        again[mine[same]] = again[mine[same + 1]] = True
+        found.append([np.flatnonzero(again[a:b]) for a, b in bounds])
+    return list(zip(found[0], found[-1], strict=True))
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -160,40 +168,69 @@ def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], [n for n, _ in schema])
 
 
-SPANS = [("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("last", pa.int64())]
-SPAN_SCHEMA = "t1 long, t2 long, start long, last long"
+#: Runs of starts; `wide` tells whether of strings of `length` or of `report` bytes.
+SPANS = [("t1", pa.int64()), ("t2", pa.int64()), ("wide", pa.bool_()), ("start", pa.int64()), ("last", pa.int64())]
+SPAN_SCHEMA = "t1 long, t2 long, wide boolean, start long, last long"
+RUNS = pa.list_(pa.struct([("start", pa.int64()), ("last", pa.int64())]))
 
 
-def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """t1, t2 (name of a text), start, last: runs of starts of strings that start anywhere else too."""
+def contexts_of(raw: bytes, report: int, length: int, roller: Roller) -> dict[tuple[int, int], list[list[int]]]:
+    """(seed, hash of the context) of a text's anchors, with runs of their starts and how often each comes."""
+    view, out = memoryview(raw), {}
+    for g, first, last in anchors(np.frombuffer(raw, np.uint8), report, roller):
+        key = g, xxhash.xxh3_64_intdigest(view[first : last + length], last - first)
+        if (runs := out.get(key)) is None:
+            out[key] = [[first, last, 1]]
+        elif runs[-1][1] + 1 == first:
+            runs[-1][1:] = last, runs[-1][2] + 1
+        else:
+            runs.append([first, last, 1])
+    return out
+
+
+def repeat_starts(docs: DataFrame, text_col: str, length: int, report: int | None = None) -> DataFrame:
+    """t1, t2 (name of a text), wide, start, last: runs of starts of strings of `length` bytes (wide) and of
+    `report` bytes (by default `length` as well) that start anywhere else too."""
+    report = report or length
+    if not SEED < report <= length:
+        raise ValueError(f"report has to be over {SEED} and no more than length")
+    both = report < length
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
+        names = ["g", "c", "t1", "t2", "n", "size", "span", "runs"]
+
+        def packed(cols: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_longs(cols[0]), _longs(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:7]), pa.array(cols[7], RUNS)], names)
+
         for b in batches:
-            cols: list[list[int]] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in names]
             for t in b.column(0):
                 raw = _raw(t.as_py())
-                if len(raw) >= length:
+                if len(raw) >= report:
                     t1, t2 = _name(raw)
-                    view = memoryview(raw)
-                    for g, first, last in anchors(np.frombuffer(raw, np.uint8), length, roller):
-                        for c, x in zip(cols, (g, xxhash.xxh3_64_intdigest(view[first : last + length], last - first), t1, t2, first, last), strict=True):
-                            c.append(x)
-                if len(cols[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([_longs(cols[0]), _longs(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["g", "c", "t1", "t2", "start", "last"])
-                    cols = [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([_longs(cols[0]), _longs(cols[1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["g", "c", "t1", "t2", "start", "last"])
-
-    found = staged(docs.select(docs[text_col].alias("text")).transform(mapped, find, "g long, c long, t1 long, t2 long, start long, last long"), "repeat-anchors")
+                    for (g, c), runs in contexts_of(raw, report, length, roller).items():
+                        n, (first, last, times) = sum(r[2] for r in runs), runs[0]
+                        for col, x in zip(cols, (g, c, t1, t2, n, len(raw), (last - first + 1) // times, [(r[0], r[1]) for r in runs]), strict=True):
+                            col.append(x)
+                if len(cols[0]) > 50_000:
+                    yield packed(cols)
+                    cols = [[] for _ in names]
+            yield packed(cols)
+
+    found = staged(docs.select(docs[text_col].alias("text")).transform(mapped, find, "g long, c long, t1 long, t2 long, n long, size long, span long, runs array<struct<start: long, last: long>>"), "repeat-anchors")
     # written by itself, so that the join deals both sides anew and a seed of very many rows can be split
-    often = staged(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "repeat-often")
-    shared = staged(found.join(often, "g"), "repeat-shared")
+    often = staged(found.groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g"), "repeat-often")
+    shared = staged(found.join(often.hint("merge"), "g"), "repeat-shared")
     discard(found, often)
-    contexts = shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "start", "last")).alias("at"))
+    first = F.col("runs")[0]["start"]
+    contexts = shared.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", first.alias("start"), (first + F.col("span") - 1).alias("last"))).alias("at"))
     contexts = staged(contexts, "repeat-contexts")
-    whole = shared.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("t1", "t2", "start", "last").distinct()
+    whole = shared.join(contexts.filter("n > 1").select("g", "c").hint("merge"), ["g", "c"], "left_semi").select("t1", "t2", "size", F.explode("runs").alias("run")).select("t1", "t2", "size", "run.*").distinct()
+    wide = whole.withColumn("last", F.least("last", F.col("size") - length)).filter("start <= last")
+    whole = wide.select("t1", "t2", F.lit(True).alias("wide"), "start", "last").unionByName(whole.select("t1", "t2", F.lit(False).alias("wide"), "start", "last")) if both else wide.select("t1", "t2", F.lit(True).alias("wide"), "start", "last")
     mixed = staged(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeat-mixed-seeds")
-    need = staged(contexts.join(mixed, "g").select("g", "m", "at.*"), "repeat-mixed")
+    need = staged(contexts.join(mixed.hint("merge"), "g").select("g", "m", "at.*"), "repeat-mixed")
     total = need.count()
     if not total:
         return whole
@@ -204,7 +241,7 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
             rows = []
             for t in b.column(0):
                 raw = _raw(t.as_py())
-                if len(raw) >= length and (x := _name(raw)) not in seen:
+                if len(raw) >= report and (x := _name(raw)) not in seen:
                     seen.add(x)
                     rows.append((*x, press.compress(raw)))
             yield _batch([("t1", pa.int64()), ("t2", pa.int64()), ("z", pa.binary())], rows)
@@ -216,58 +253,64 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 rows = []
                 for t1, t2, z, places in zip(*(c.to_pylist() for c in big.slice(i, 200).columns), strict=True):
                     raw = press.decompress(z)
-                    rows += [(p["g"], p["m"], t1, t2, p["start"], raw[p["start"] : p["last"] + length]) for p in places]
-                yield _batch([("g", pa.int64()), ("m", pa.int64()), *SPANS[:3], ("bytes", pa.binary())], rows)
+                    rows += [(p["g"], p["m"], t1, t2, p["start"], p["last"] - p["start"], raw[p["start"] : p["last"] + length]) for p in places]
+                yield _batch([("g", pa.int64()), ("m", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int64()), ("reach", pa.int64()), ("bytes", pa.binary())], rows)
 
     lists = need.groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "m", "start", "last")).alias("places"))
     named = docs.select(docs[text_col].alias("text")).transform(mapped, name, "t1 long, t2 long, z binary")
-    cuts = staged(named.join(lists, ["t1", "t2"]).transform(mapped, cut, "g long, m long, t1 long, t2 long, start long, bytes binary"), "repeat-bytes")
+    cuts = staged(named.join(lists.hint("merge"), ["t1", "t2"]).transform(mapped, cut, "g long, m long, t1 long, t2 long, start long, reach long, bytes binary"), "repeat-bytes")
 
     def sort(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        once = dict(zip(zip(*(group[c].to_pylist() for c in ("g", "t1", "t2", "start")), strict=True), group["bytes"].to_pylist(), strict=True))
-        keys = sorted(once)  # a text that many rows repeat has come more than once
+        # a text that many rows repeat has come more than once
+        once = dict(zip(zip(*(group[c].to_pylist() for c in ("g", "t1", "t2", "start")), strict=True), zip(group["bytes"].to_pylist(), group["reach"].to_pylist(), strict=True), strict=True))
+        keys = sorted(once)
         ends = [i for i in range(1, len(keys) + 1) if i == len(keys) or keys[i][0] != keys[i - 1][0]]
         at, size, last = 0, 0, 0
         cuts = []
         for end in ends:
-            more = sum(len(once[k]) for k in keys[last:end])
+            more = sum(len(once[k][0]) for k in keys[last:end])
             if size and size + more > SORTED:
                 cuts.append((at, last))
                 at, size = last, 0
             size, last = size + more, end
         for a, b in [*cuts, (at, last)]:
             rows = []
-            for (_, t1, t2, start), x in zip(keys[a:b], repeated_starts([once[k] for k in keys[a:b]], length), strict=True):
-                rows += [(t1, t2, start + i, start + j) for i, j in _runs(x)]
+            for k, (short, long_) in zip(keys[a:b], repeated_starts(*map(list, zip(*(once[k] for k in keys[a:b]), strict=True)), report, length), strict=True):
+                _, t1, t2, start = k
+                rows += [(t1, t2, True, start + i, start + j) for i, j in _runs(long_)]
+                if both:
+                    rows += [(t1, t2, False, start + i, start + j) for i, j in _runs(short)]
             yield _batch(SPANS, rows)
 
     buckets = max(1, total // BUCKET)
     normal = cuts.filter(F.col("m") <= MAX_GROUP).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-    parts = whole.unionByName(by_group(normal.select("bucket", "g", "t1", "t2", "start", "bytes"), "bucket", sort, SPAN_SCHEMA))
+    parts = whole.unionByName(by_group(normal.select("bucket", "g", "t1", "t2", "start", "reach", "bytes"), "bucket", sort, SPAN_SCHEMA))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for b in batches:
-            for g, t1, t2, start, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = roller.hashes(np.frombuffer(raw, np.uint8), length)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(h.view(np.int64)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(start + np.arange(n))], ["g", "h", "t1", "t2", "start"])
+            for g, t1, t2, start, reach, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for width in dict.fromkeys((report, length)):
+                    h = roller.hashes(np.frombuffer(raw, np.uint8), width)[: reach + 1]
+                    n = len(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(h.view(np.int64)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.full(n, width == length)), pa.array(start + np.arange(n))], ["g", "h", "t1", "t2", "wide", "start"])
 
-    each = cuts.filter(F.col("m") > MAX_GROUP).select("g", "t1", "t2", "start", "bytes").transform(mapped, strings, "g long, h long, t1 long, t2 long, start long").distinct()
-    twice = each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "h")
-    return parts.unionByName(each.join(twice, ["g", "h"]).select("t1", "t2", "start", F.col("start").alias("last")))
+    each = cuts.filter(F.col("m") > MAX_GROUP).select("g", "t1", "t2", "start", "reach", "bytes").transform(mapped, strings, "g long, h long, t1 long, t2 long, wide boolean, start long").distinct()
+    twice = each.groupBy("g", "h", "wide").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "h", "wide")
+    return parts.unionByName(each.join(twice, ["g", "h", "wide"]).select("t1", "t2", "wide", "start", F.col("start").alias("last")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False, report: int | None = None) -> DataFrame:
     """id, n_bytes long, n_removed long, n_spans long, kept_sha256 string of every row, and kept_text string
     with keep_text, where bytes of characters cut in two go as well; `row`, the whole row, then stands for id.
+    With report, n_passage_bytes long: the bytes that repeated strings of so many bytes cover, which stay.
 
     A byte goes if a `length`-byte string that covers it starts anywhere else in the column, in UTF-8.
     Null and short texts lose nothing; null counts as empty. Repeated rows repeat each other. An empty
     table gives an empty result; other columns stay out, whatever their names.
     """
-    starts = repeat_starts(docs, text_col, length)
-    spans = staged(starts.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "last")).alias("spans")), "repeat-spans")
+    starts = repeat_starts(docs, text_col, length, report)
+    spans = staged(starts.groupBy("t1", "t2").agg(F.collect_list(F.struct("wide", "start", "last")).alias("spans")), "repeat-spans")
     chosen = docs.select((F.struct("*") if keep_text else docs[id_col]).alias("id"), docs[text_col].alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
@@ -278,30 +321,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = [_name(x) for x in raws]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array([press.compress(x) for x in raws], pa.binary())], ["id", "t1", "t2", "z"])
 
+    def covered(n: int, spans: list[dict], wide: bool, width: int) -> np.ndarray:
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, [x["start"] for x in spans if x["wide"] == wide], 1)
+        np.add.at(edge, [x["last"] + width for x in spans if x["wide"] == wide], -1)
+        return np.cumsum(edge[:-1]) > 0
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 b, out = big.slice(i, 500), []
                 for z, spans in zip(b.column(1), b.column(2), strict=True):
-                    raw, n_spans = press.decompress(z.as_py()), 0
+                    raw, n_spans, passages = press.decompress(z.as_py()), 0, 0
                     kept = raw
                     if spans.is_valid:
-                        edge = np.zeros(len(raw) + 1, np.int64)
-                        np.add.at(edge, [x["start"] for x in spans.as_py()], 1)
-                        np.add.at(edge, [x["last"] + length for x in spans.as_py()], -1)
-                        gone = np.cumsum(edge[:-1]) > 0
+                        runs = spans.as_py()
+                        gone = covered(len(raw), runs, True, length)
                         n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
-                rest = _batch([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())], out)
+                        passages = int(covered(len(raw), runs, False, report).sum()) if report else 0
+                    out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, passages))
+                rest = _batch([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("n_passage_bytes", pa.int64())], out)
                 yield pa.RecordBatch.from_arrays([b.column(0), *rest.columns], ["id", *rest.schema.names])
 
     named = chosen.transform(mapped, name, f"id {kind}, t1 long, t2 long, z binary")
-    done = named.join(spans, ["t1", "t2"], "left").select("id", "z", "spans").transform(mapped, apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    done = named.join(spans.hint("merge"), ["t1", "t2"], "left").select("id", "z", "spans").transform(mapped, apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_passage_bytes long")
+    done = done if report else done.drop("n_passage_bytes")
     return done.withColumnRenamed("id", "row") if keep_text else done.drop("kept_text").withColumnRenamed("id", id_col)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes."""
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes; and
+    n_passage_bytes, the bytes that repeated strings of PASSAGE bytes cover."""
+    return remove_repeats(table(spark, sf_dir, "documents"), report=PASSAGE)

@@ -125,6 +125,8 @@ def test_suffixes(spark, monkeypatch, largest):
     texts += ["x" * 1000, "xy" * 300, "p" * 399, "q" * 400, "r" * 401, "é" * 300, *ODD[:6], "same " * 90, "same " * 90]
     got = by_id(suffixes.remove_repeats(frame(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == dict(enumerate(brute_repeats(texts)))
+    got = by_id(suffixes.remove_repeats(frame(spark, texts), report=120), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
+    assert got == {i: (*x, y[1]) for i, (x, y) in enumerate(zip(brute_repeats(texts), brute_repeats(texts, 120), strict=True))}
     kept = suffixes.remove_repeats(frame(spark, texts), keep_text=True)
     assert {r["row"].doc_id: len(r.kept_text.encode()) <= r.n_bytes for r in kept.collect()} == dict.fromkeys(range(len(texts)), True)
     assert suffixes.remove_repeats(frame(spark, []).limit(0)).count() == 0
