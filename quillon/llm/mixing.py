@@ -29,6 +29,8 @@ from quillon.llm.common import staged, table, word_count
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents in a bucket of the order, about.
 BUCKET_ROWS = 4096
+#: The plan of so many sources, under a KB each, is broadcast; that of more is joined.
+MAX_BROADCAST_SOURCES = 20_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -130,6 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             ends.append(at)
         plan.append((r.source, sizes[i], target[i], takes[i], blocks[i], *(_stride(blocks[i], rng) if blocks[i] else (1, 0)), ends, max(1, r.n // BUCKET_ROWS)))
     plan_df = spark.createDataFrame(plan, "p_source string, source_size long, target double, take long, blocks long, a long, b long, ends array<long>, buckets long")
+    if len(plan) <= MAX_BROADCAST_SOURCES:
+        plan_df = F.broadcast(plan_df)
     same = F.col("source").eqNullSafe(F.col("p_source"))
     rows = rows.join(plan_df.select("p_source", "buckets"), same, "left").drop("p_source").withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 16), F.col("buckets")))
     by_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +155,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "at_row", draws.alias("draws"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda x, d: x + d["words"])
     out = out.select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "draws", "at_row")
-    return out.join(whole.select("at_row", "kept"), "at_row").drop("at_row") if keep else out.drop("at_row")
+    return whole.select("at_row", "kept").join(out.filter("taken > 0").hint("merge"), "at_row").drop("at_row") if keep else out.drop("at_row")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
