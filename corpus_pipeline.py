@@ -24,34 +24,30 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similar shingle sets hold together, the one of the least id.
-
-    Rows without an id stay unless a document with an id reaches them.
-    """
-    found = jaccard.jaccard_components(docs, width=SHINGLE, percent=PERCENT)
-    ids = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if found.filter("doc_id is null and component_id is null").isEmpty():
-        return kept.select(docs.columns)
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group that links of similar shingle sets hold together: that of the least id, a row
+    without an id only where none has one. Rows are told apart by their place, so those that share an id, or
+    have none, are judged by their texts alone."""
+    row = next(c for c in ("row", *(f"row{k}" for k in range(len(docs.columns) + 1))) if c not in docs.columns)
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard.jaccard_components(keyed, id_col=row, width=SHINGLE, percent=PERCENT).select(F.col(row).alias("at"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))["at"]
+    first = keyed.select("doc_id", F.col(row).alias("at")).join(found, "at").groupBy("component_id").agg(best.alias(row)).select(row)
+    return keyed.join(first.hint("merge"), row, "left_semi").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that occur elsewhere too; those left without a word go."""
-    done = suffixes.remove_repeats(docs, keep_text=True).filter(F.col("kept_text").rlike(WORD))
+    """Documents without the bytes of passages, strings of PASSAGE bytes that occur elsewhere too; those left without a word go."""
+    done = suffixes.remove_repeats(docs, keep_text=True, length=suffixes.PASSAGE).filter(F.col("kept_text").rlike(WORD))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return done.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, by shard and in the shard's order. A document that meets
-    its source's target in the middle ends after the words that the mix takes."""
+    """Documents as often as the mix draws them, by shard and in the shard's order. The document in which a source
+    meets its target is whole or absent, whichever is nearer the target: no text is cut."""
     mixed = mixing.mix(docs, keep=tuple(docs.columns)).filter("taken > 0").select("kept", "size", F.explode("draws").alias("draw"))
-    words = F.filter(F.split(F.col("kept.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("kept.text"))
-    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
-    cut = mixed.withColumn("cut", text).repartition(tasks(spark), "draw.shard").sortWithinPartitions("draw.shard", "draw.place")
-    return cut.select(*[new[c].alias(c) if c in new else F.col("kept")[c].alias(c) for c in docs.columns])
+    dealt = mixed.filter(2 * F.col("draw.words") >= F.col("size")).repartition(tasks(spark), "draw.shard").sortWithinPartitions("draw.shard", "draw.place")
+    return dealt.select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
