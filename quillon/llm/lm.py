@@ -1,101 +1,121 @@
 """Language-model scoring by cross-entropy difference.
 
-Two interpolated bigram models, of a target corpus and of the whole corpus as background, share one
-vocabulary. score_all() keeps every word and bigram that was counted: the counts are a written table, dealt by
-hash into buckets, and each document asks each bucket for the counts of its distinct words and bigrams, so
-nothing but sums is gathered or broadcast. train() and score() are for a model that travels: it lists the
-words and the bigrams whose share of the background's tokens is at least a given one; a rarer word is the
-unknown word, a rarer bigram backs off to its word. A document's score is the mean over its tokens of target loss less background loss, in nats: the lower,
-the closer to the target.
+Two bigram models, of a target corpus and of the whole corpus as background, share one vocabulary: every word of
+every document, and one unknown word. With c the counts of a model, N its tokens and V the vocabulary's size
+
+    p(w)     = (s c(w) + ADDED) / (s N + ADDED V)
+    p(w | h) = (s c(h w) + PRIOR p(w)) / (s c(h) + PRIOR)
+
+where c(h) counts the words that come after h, and s matches the models: 1 for the target, its tokens over the
+background's for the background, so both weigh their smoothing alike. Every context sums to 1. A row is
+scored by the models of all other rows: its own counts are taken off first. Its score is the mean over its tokens
+of target loss less background loss, in nats: the lower, the closer to the target.
+
+No n-gram is dropped, and none is gathered: blocks of BLOCK rows send their distinct words and bigrams to buckets,
+dealt by hash, which add them up and send back the sums of those that other blocks have as well. A word that
+every document has is one entry of a block, so no key is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, mapped, staged, table, tasks
+from quillon.llm.common import mapped, staged, table, tasks
 from quillon.llm.grouped import by_group
+from quillon.llm.labelled import training_labels
 
-#: Least share of the background's tokens of a listed word and of a listed bigram.
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
-#: Weight of the bigram estimate where its first word is known; added count of each listed word.
-BIGRAM, ADDED = 0.6, 0.5
-#: Hashes held in a task before they are summed.
-HELD = 1 << 21
-UNKNOWN, START = 1, 2
+#: Added count of each word of the vocabulary, and weight of p(w) in a bigram's context, in counts.
+ADDED, PRIOR = 0.5, 5.0
+START = 2
+#: Rows of a block, as a power of two.
+BLOCK = 9
 #: No more rows of target ids are broadcast; beyond it the ids are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Bytes of a hash that are kept.
+KEPT = 7
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each ASCII-lower-cased word; values below 16 are kept for marks."""
+    """An even hash of each ASCII-lower-cased word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    known = {w: xxhash.xxh3_64_intdigest(w) | 16 for w in set(words)}
+    known = {w: xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFFFFFFFE for w in set(words)}
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def pair_hashes(words: np.ndarray) -> np.ndarray:
-    """A hash of each word with the one before it, the first with the start mark."""
+    """An odd hash of each word with the one before it, the first with the start mark."""
     before = np.append(np.uint64(START), words[:-1])[: len(words)]
     x = before * np.uint64(0x9E3779B97F4A7C15) ^ (words + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(8)) | np.uint64(1)
 
 
-def listed(words: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """words with those that aren't in the sorted vocab made unknown."""
-    if not len(vocab):
-        return np.full(len(words), UNKNOWN, np.uint64)
-    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
-    return np.where(vocab[at] == words, words, np.uint64(UNKNOWN))
+class Counts:
+    """Sums by hash, sorted: occurrences, those that end a document, and the same in target documents."""
 
+    def __init__(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.keys, self.sums = keys, sums
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, even, and of each word but the first with the one before it, odd."""
-    words = word_hashes(text) & ~np.uint64(1)
-    return words, pair_hashes(words)[1:] | np.uint64(1)
+    @classmethod
+    def of(cls, texts: list[tuple[np.ndarray, np.ndarray]], target: list[bool]) -> Counts:
+        parts, rows = [np.zeros(0, np.uint64)], [np.zeros((4, 0), np.int64)]
+        for (words, pairs), t in zip(texts, target, strict=True):
+            n = np.zeros((4, 2 * len(words)), np.int64)
+            n[0] = 1
+            if len(words):
+                n[1, len(words) - 1] = 1
+            n[2:] = n[:2] * t
+            parts += [words, pairs]
+            rows.append(n)
+        return cls.added(np.concatenate(parts), np.concatenate(rows, axis=1))
 
+    @classmethod
+    def added(cls, keys: np.ndarray, rows: np.ndarray) -> Counts:
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[:, order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return cls(keys[first], np.add.reduceat(rows, first, axis=1) if len(first) else rows)
 
-def _count(texts: DataFrame, hashes: Callable[[str | None], np.ndarray]) -> DataFrame:
-    """h, all, target: summed counts of the hashes of texts, each task's sums first."""
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return self.sums[:, np.searchsorted(self.keys, keys)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        size = 0
 
-        def summed() -> pa.RecordBatch:
-            parts = [np.concatenate([*held[k], np.zeros(0, np.uint64)]) for k in (False, True)]
-            (h0, n0), (h1, n1) = (np.unique(x, return_counts=True) for x in parts)
-            one = lambda x, t: pa.array(np.concatenate(x).astype(np.int64), t)
-            held[True].clear()
-            held[False].clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h0, h1]).view(np.int64)), one([n0, n1], pa.int64()), one([np.zeros(len(h0)), n1], pa.int64())], ["h", "n", "t"])
+def _pack(keys: np.ndarray, sums: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    body = np.ascontiguousarray(sums).view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() + press.compress(body)
 
-        for b in batches:
-            for text, target in zip(b.column(0), b.column(1), strict=True):
-                x = hashes(text.as_py())
-                held[target.as_py()].append(x)
-                size += len(x)
-                if size >= HELD:
-                    yield summed()
-                    size = 0
-        if size:
-            yield summed()
 
-    return texts.transform(mapped, run, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+def _unpack(n: int, load: bytes, press: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :KEPT] = np.frombuffer(load, np.uint8, n * KEPT).reshape(n, KEPT)
+    body = np.frombuffer(press.decompress(load[n * KEPT :]), np.uint8).reshape(4, 8, n).transpose(0, 2, 1)
+    return keys.view("<u8").ravel(), np.ascontiguousarray(body).view(np.int64).reshape(4, n)
 
 
-def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = rows.toPandas()
-    h = found.h.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], found.n.to_numpy(np.float64)[order], found.t.to_numpy(np.float64)[order]
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    words = word_hashes(text)
+    return words, pair_hashes(words)
+
+
+def losses(words: np.ndarray, pairs: np.ndarray, target: bool, counts: Counts, model: dict) -> tuple[float, float]:
+    """Mean losses of a text of at least one word, under the target and the background model without it."""
+    own, k = Counts.of([(words, pairs)], [target]), len(words)
+    word, pair = counts.at(words) - own.at(words), counts.at(pairs) - own.at(pairs)
+    out = []
+    for row, s, tokens, starts, mine in ((2, 1.0, model["t"], model["t_docs"], target), (0, model["scale"], model["n"], model["n_docs"], True)):
+        one = (s * word[row] + ADDED) / (s * (tokens - mine * k) + ADDED * model["size"])
+        given = np.append(starts - mine, (word[row] - word[row + 1])[:-1])
+        out.append(float(-np.log((s * pair[row] + PRIOR * one) / (s * given + PRIOR)).mean()))
+    return out[0], out[1]
 
 
 def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,142 +126,89 @@ def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) ->
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def train(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> dict:
-    """Both models. docs is the background; targets has the ids (column id_col) of its target documents."""
-    texts = _marked(docs, targets, id_col, text_col).select("text", "target")
-    words = staged(_count(texts, word_hashes), "lm-words")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    vocab, n, t = _sorted(words.filter(F.col("n") >= word_share * total.n))
-    pairs, pair_n, pair_t = _sorted(_count(texts, lambda text: pair_hashes(listed(word_hashes(text), vocab))).filter(F.col("n") >= pair_share * total.n))
-    unknown = [max(0.0, total.n - n.sum()), max(0.0, total.t - t.sum())]
-    model = {"vocab": vocab, "pairs": pairs, "size": len(vocab) + 1}
-    for name, one, two, rest, all_ in (("background", n, pair_n, unknown[0], total.n), ("target", t, pair_t, unknown[1], total.t)):
-        model[name] = {"word": np.append(one, rest), "pair": two, "total": float(all_)}
-    return model
-
-
-def losses(text: str | None, model: dict) -> tuple[int, float, float]:
-    """Tokens, and the mean loss under the target and the background model."""
-    words = listed(word_hashes(text), model["vocab"])
-    k = len(words)
-    if not k:
-        return 0, 0.0, 0.0
-    vocab, pairs, unknown = model["vocab"], model["pairs"], model["size"] - 1
-    place = np.where(words == UNKNOWN, unknown, np.searchsorted(vocab, words))
-    before = np.append(unknown, place[:-1])
-    h, out = pair_hashes(words), []
-    at = np.minimum(np.searchsorted(pairs, h), max(0, len(pairs) - 1))
-    hit = pairs[at] == h if len(pairs) else np.zeros(k, bool)
-    for name in ("target", "background"):
-        m = model[name]
-        one = (m["word"][place] + ADDED) / (m["total"] + ADDED * model["size"])
-        given = m["word"][before]
-        two = np.where(hit, m["pair"][at] if len(pairs) else 0.0, 0.0)
-        p = np.where(hit & (given > 0), BIGRAM * two / np.maximum(given, 1.0) + (1 - BIGRAM) * one, one)
-        out.append(float(-np.log(p).mean()))
-    return k, out[0], out[1]
-
-
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens long, target_loss, background_loss, score double (target less background) of every row.
+def _add(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """What one bucket sends back to each block: the sums of hashes that other blocks have too; and its totals."""
+    squeeze, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    loads = [_unpack(n, x.as_py(), squeeze) for n, x in zip(group["entries"].to_pylist(), group["load"], strict=True)]
+    every = Counts.added(np.concatenate([x[0] for x in loads]), np.concatenate([x[1] for x in loads], axis=1))
+    names = ["block", "entries", "load", "words", "n", "n_docs", "t", "t_docs"]
 
-    Null and empty texts: 0 tokens and null losses. Repeated rows give repeated results, an empty table
-    an empty one; other columns stay out. The lists are bounded, so they go along with the tasks.
-    """
-    spark = docs.sparkSession
-    kind = docs.select(id_col).schema.fields[0].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            found = [losses(t.as_py(), model) for t in b.column(1)]
-            cols = [pa.array([x[0] for x in found], pa.int64()), *(pa.array([f(x) if x[0] else None for x in found], pa.float64()) for f in (lambda x: x[1], lambda x: x[2], lambda x: x[1] - x[2]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(docs[id_col], docs[text_col]).transform(mapped, run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def _asked(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct hashes by bucket, and their buckets."""
-    u = np.unique(np.concatenate(grams(text)))
-    bucket = ((u >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return u[order], bucket[order]
-
-
-def _answer(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The counts of one bucket's hashes for each document that asks. Those found once in all documents aren't
-    in the table: whoever asks for one has it, and t of an asking row is whether it is a target."""
-    known = group.filter(group["row"].is_null())
-    h = known["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h, counts = h[order], np.stack([known["n"].to_numpy()[order], known["t"].to_numpy()[order]])
-    bucket = group["bucket"][0].as_py()
-    for b in group.filter(group["row"].is_valid()).select(["row", "load", "t"]).to_batches():
-        loads = []
-        for x, target in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            q = np.frombuffer(x.as_py(), np.uint64)
-            found = np.repeat(np.array([[1], [target]], np.int64), len(q), axis=1)
-            if len(h):
-                at = np.minimum(np.searchsorted(h, q), len(h) - 1)
-                hit = h[at] == q
-                found[:, hit] = counts[:, at[hit]]
-            loads.append(found.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bucket] * len(loads), pa.int64()), pa.array(loads, pa.binary())], ["row", "bucket", "load"])
+    word = every.keys % np.uint64(2) == 0
+    yield batch([(-1, 0, b"", int(word.sum()), *every.sums[:, word].sum(1).tolist())])
+    for block, (keys, sums) in zip(group["block"].to_pylist(), loads, strict=True):
+        found = every.at(keys)
+        more = found[0] > sums[0]
+        yield batch([(block, int(more.sum()), _pack(keys[more], found[:, more], press), 0, 0, 0, 0, 0)])
 
 
 def score_all(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What score() gives, by models of all words and bigrams of docs, those of targets' ids being the target."""
+    """id, n_tokens long, target_loss, background_loss, score double (target less background) of every row.
+
+    docs is the background; targets has the ids (column id_col) of its target documents. Null and empty
+    texts: 0 tokens and null losses. Without target tokens every score is 0. Repeated rows are separate
+    documents with equal results; an empty table gives an empty result; other columns stay out.
+    """
     spark = docs.sparkSession
     kind = docs.select(id_col).schema.fields[0].dataType.simpleString()
-    texts = staged(_marked(docs, targets, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-    seen, word = Observation(), F.col("h") % 2 == 0
-    counts = _count(texts.select("text", "target"), lambda text: np.concatenate(grams(text)))
-    counts = counts.observe(seen, F.count(F.when(word, 1)).alias("size"), F.sum(F.when(word, F.col("n"))).alias("n"), F.sum(F.when(word, F.col("t"))).alias("t"))
-    counts = staged(counts.filter("n > 1"), "lm-grams")
-    words = seen.get
-    size, totals, buckets = (words["size"] or 0) + 1, (words["t"] or 0, words["n"] or 0), tasks(spark, 12)
+    texts = _marked(docs, targets, id_col, text_col).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK))
+    texts, buckets = staged(texts, "lm-texts"), tasks(spark, 12)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        marks: list[bool] = []
+        now = None
+
+        def sent() -> pa.RecordBatch:
+            sums = Counts.of(held, marks)
+            bucket = (sums.keys // np.uint64(2) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+            parts = [order[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+            held.clear()
+            marks.clear()
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int64()), pa.array([now] * len(parts), pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([_pack(sums.keys[x], sums.sums[:, x], press) for x in parts], pa.binary())], ["bucket", "block", "entries", "load"])
+
         for b in batches:
-            rows, keys, loads, marks = [], [], [], []
-            for row, text, target in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                u, bucket = _asked(text.as_py(), buckets)
-                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(u))
-                rows += [row] * (len(cuts) - 1)
-                marks += [int(target)] * (len(cuts) - 1)
-                keys += bucket[cuts[:-1]].tolist()
-                loads += [u[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(loads, pa.binary()), pa.array(marks, pa.int64())], ["bucket", "row", "load", "t"])
-
-    asked = texts.select("row", "text", "target").transform(mapped, deal, "bucket long, row long, load binary, t long")
-    known = counts.select(F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)).cast("long").alias("bucket"), "h", "n", "t")
-    answers = staged(by_group(asked.unionByName(known, allowMissingColumns=True), "bucket", _answer, "row long, bucket long, load binary"), "lm-answers")
-    discard(counts)
+            for text, target, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if block != now and held:
+                    yield sent()
+                now = block
+                held.append(grams(text.as_py()))
+                marks.append(target)
+        if held:
+            yield sent()
+
+    asked = texts.select("text", "target", "block").transform(mapped, deal, "bucket long, block long, entries long, load binary")
+    sums = "words long, n long, n_docs long, t long, t_docs long"
+    answers = staged(by_group(asked, "bucket", _add, f"block long, entries long, load binary, {sums}"), "lm-answers")
+    total = answers.filter("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n", "n_docs", "t", "t_docs"))).first().asDict()
+    model = total | {"size": total["words"] + 1, "scale": total["t"] / max(1, total["n"])}
 
     def finish(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, own = group["bucket"].to_numpy(), int(np.flatnonzero(group["bucket"].to_numpy() < 0)[0])
-        words, pairs = grams(group["load"][own].as_py().decode("utf-8", "surrogatepass"))
-        k, out = len(words), [None, None]
-        if k:
-            u, _ = _asked(group["load"][own].as_py().decode("utf-8", "surrogatepass"), buckets)
-            found = np.concatenate([np.frombuffer(group["load"][int(i)].as_py(), np.int64).reshape(2, -1) for i in np.argsort(bucket)[1:]], axis=1).astype(np.float64)
-            order = np.argsort(u)
-            word, pair = (order[np.searchsorted(u[order], x)] for x in (words, pairs))
-            for place, c, total in ((0, found[1], totals[0]), (1, found[0], totals[1])):
-                p = (c[word] + ADDED) / (float(total) + ADDED * size)
-                given = c[word[:-1]]
-                p[1:] = np.where(given > 0, BIGRAM * c[pair] / np.maximum(given, 1.0) + (1 - BIGRAM) * p[1:], p[1:])
-                out[place] = float(-np.log(p).mean())
-        cols = [pa.array([x], pa.float64()) for x in (*out, out[0] - out[1] if k else None)]
-        yield pa.RecordBatch.from_arrays([group["id"].combine_chunks().take(pa.array([own])), pa.array([k], pa.int64()), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    whole = texts.select("row", F.lit(-1).cast("long").alias("bucket"), F.coalesce("text", F.lit("")).cast("binary").alias("load"), "id")
-    return by_group(whole.unionByName(answers, allowMissingColumns=True), "row", finish, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+        squeeze = zstandard.ZstdDecompressor()
+        sent = pc.is_valid(group["entries"])
+        own, more = group.filter(pc.invert(sent)), group.filter(sent)
+        texts, target = [grams(t.as_py()) for t in own["text"]], own["target"].to_pylist()
+        counts = Counts.of(texts, target)
+        for n, load in zip(more["entries"].to_pylist(), more["load"], strict=True):
+            keys, found = _unpack(n, load.as_py(), squeeze)
+            counts.sums[:, np.searchsorted(counts.keys, keys)] = found
+        out = [losses(*x, t, counts, model) if len(x[0]) else (None, None) for x, t in zip(texts, target, strict=True)]
+        cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([None if x[0] is None else x[0] - x[1] for x in out], pa.float64())]
+        yield pa.RecordBatch.from_arrays([own["id"].combine_chunks(), pa.array([len(x[0]) for x in texts], pa.int64()), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = texts.unionByName(answers.filter("block >= 0").select("block", "entries", "load"), allowMissingColumns=True)
+    return by_group(both, "block", finish, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every document: the target is what labels.quality marks as good, the background all documents."""
+    """Scores of every document: the target is what labels.quality marks as good, held-out rows apart, the
+    background all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return score_all(docs, labels.filter("quality = 1"))
+    good = training_labels(labels, "doc_id", "quality").filter("y = 1").select(F.col("id").alias("doc_id"))
+    return score_all(docs, good)
