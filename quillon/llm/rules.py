@@ -1,8 +1,11 @@
 """Quality rules from compression bands.
 
 A text's zstandard ratio (bytes over compressed bytes) tells repetition from noise: the whole
-document and fixed chunks of it must lie within bands that depend on length, as short texts compress
-less. Repetitive texts lie above a band, random or encoded text below it.
+document and fixed chunks of it, the last one overlapping the one before so that no tail is left out, must lie
+within limits that depend on length, as short texts compress less. Repetitive texts, tables and lists with one
+mark after each word lie above them, random or encoded text below. The limits are
+for prose of alphabetic scripts; 0 of 3,302 good and 173 of 301 bad labelled texts of the tables at 0.1 that pass
+the base rules lie outside them.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from quillon.llm.common import ASCII_SPACE, mapped, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: (least bytes, lowest ratio, highest ratio) of whole texts; the last band that fits holds.
-BANDS = ((0, 0.0, 6.0), (256, 1.05, 5.0), (1024, 1.25, 5.0), (8192, 1.4, 6.0), (65536, 1.5, 8.0))
-#: The same of chunks of CHUNK bytes, and the share of chunks outside that a text may have.
-CHUNK, CHUNK_BAND, MAX_BAD_CHUNKS = 4096, (1.25, 5.0), 0.25
+#: (bytes, limit) of whole texts, linear in the logarithm of the bytes between; the end limits hold beyond.
+LOWEST = ((128, 1.0), (256, 1.08), (512, 1.22), (1024, 1.34), (4096, 1.4), (65536, 1.45))
+HIGHEST = ((128, 1.7), (256, 1.8), (512, 1.93), (1024, 2.09), (2048, 2.23), (4096, 2.33), (8192, 2.43), (16384, 2.53), (65536, 2.76))
+#: Bytes of a chunk, the limits of its ratio, and the share of chunks outside them that a text may have (none in short texts).
+CHUNK, CHUNK_LIMITS, MAX_BAD_CHUNKS = 1024, (1.34, 2.6), 0.1
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, bad_chunks double, base_failed boolean, kept boolean"
 
 
@@ -48,6 +52,11 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge[:n]) > 0).sum())
 
 
+def limit(n: int, nodes: tuple[tuple[int, float], ...]) -> float:
+    """The limit for a text of n bytes."""
+    return float(np.interp(np.log2(max(n, 1)), [np.log2(x) for x, _ in nodes], [y for _, y in nodes]))
+
+
 def measure(text: str | None, press: zstandard.ZstdCompressor) -> tuple:
     """The figures and verdicts of one text, in the order of COLUMNS."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -58,12 +67,10 @@ def measure(text: str | None, press: zstandard.ZstdCompressor) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     repeated = repeat_words(words)
     ratio = len(raw) / len(press.compress(raw)) if raw else 0.0
-    parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) >= 2 * CHUNK else []
-    parts = [x for x in parts if len(x) == CHUNK]
-    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(press.compress(x)) <= CHUNK_BAND[1] for x in parts) / max(1, len(parts))
+    parts = [raw[min(i, len(raw) - CHUNK) :][:CHUNK] for i in range(0, len(raw), CHUNK)] if len(raw) > CHUNK else []
+    bad = sum(not CHUNK_LIMITS[0] <= CHUNK / len(press.compress(x)) <= CHUNK_LIMITS[1] for x in parts) / max(1, len(parts))
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-    low, high = next((lo, hi) for least, lo, hi in reversed(BANDS) if len(raw) >= least)
-    kept = not failed and low <= ratio <= high and bad <= MAX_BAD_CHUNKS
+    kept = not failed and limit(len(raw), LOWEST) <= ratio <= limit(len(raw), HIGHEST) and bad <= MAX_BAD_CHUNKS
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, ratio, bad, failed, kept
 
 
