@@ -23,5 +23,7 @@ def bounded_ids(ids: DataFrame, most: int, seed: int = 5) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and ids' other columns of the documents that ids names. ids is bounded_ids', so it is broadcast."""
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id")
+    """id, text and ids' other columns of the documents that ids names, a row for each row of ids: of the texts
+    of an id the first in order, null last. ids is bounded_ids', so it is broadcast."""
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id")
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))

@@ -1,7 +1,9 @@
 """Quality classifier from positive and unlabelled texts.
 
-Trusted positives are labelled good texts; unlabelled ones are documents as they come; the class prior
-is estimated from the labels of the training rows. A linear scorer with logistic loss minimises the
+Trusted positives are labelled good texts; unlabelled ones are documents as they come; no label of a bad
+text is read. The class prior is estimated from the two samples: a scorer that tells positives from unlabelled
+texts is fit on half of them, and on the other half the prior is the least ratio, over its thresholds, of the
+share of unlabelled texts above to the share of positives above. A linear scorer with logistic loss minimises the
 non-negative unbiased risk  prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])  by Adam; where
 the bracket falls below zero its gradient is turned around, which keeps it from overfitting.
 
@@ -53,13 +55,27 @@ def features(text: str | None, press: zstandard.ZstdCompressor) -> np.ndarray:
     return out
 
 
-def estimate_prior(positive: int, labelled: int) -> float:
-    """Share of positives, from the labelled training rows, held off 0 and 1."""
-    return min(0.99, max(0.01, (positive + 1) / (labelled + 2)))
+def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, held off 0 and 1; p, u: their features.
 
-
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> dict:
-    """Weights that minimise the non-negative risk; p, u: features of positives and unlabelled texts."""
+    Above a threshold that negatives don't reach, the unlabelled are positives, so the ratio of the shares is
+    the prior; elsewhere it is more. Each ratio is taken with the upper confidence bound of its two shares, and
+    the ratio of the least bound counts.
+    """
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    model = fit_nnpu(p[::2], u[::2], 0.5, negative=False)
+    sp, su = (np.clip((x[1::2] - model["mean"]) / model["scale"], -8, 8) @ model["w"] for x in (p, u))
+    cuts = np.unique(sp)
+    above_p, above_u = (1 - np.searchsorted(np.sort(x), cuts, "left") / len(x) for x in (sp, su))
+    slack = sum(np.sqrt(np.log(4 / delta) / 2 / len(x)) for x in (sp, su))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(min(0.99, max(0.01, above_u[best] / above_p[best])))
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-3, negative: bool = True) -> dict:
+    """Weights that minimise the non-negative risk; p, u: features of positives and unlabelled texts.
+    Without `negative` the plain risk of telling p from u."""
     both = np.concatenate([p, u])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = np.clip((p - mean) / scale, -8, 8), np.clip((u - mean) / scale, -8, 8)
@@ -69,8 +85,12 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     for t in range(1, steps + 1):
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) for x in (p, u))
         bracket = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        negative = grad(u, su / len(u)) - prior * grad(p, sp / len(p))
-        g = prior * grad(p, (sp - 1) / len(p)) + (negative if bracket >= 0 else -negative)
+        if negative:
+            rest = grad(u, su / len(u)) - prior * grad(p, sp / len(p))
+            rest = rest if bracket >= 0 else -rest
+        else:
+            rest = (1 - prior) * grad(u, su / len(u))
+        g = prior * grad(p, (sp - 1) / len(p)) + rest
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -79,10 +99,10 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
     """A model from at most max_positive trusted texts and max_unlabelled others. Held-out rows are never
-    learned from. Without positives or texts the model scores every text with the prior."""
+    learned from, nor are labels of bad texts. Without positives or texts the model scores every text with 0.5.
+    A linear model of DIMS weights is fit well by so many texts; the sample is drawn by a hash of the id, and a
+    document of many rows counts with the first of its texts in order."""
     y = training_labels(labels, id_col, label_col)
-    counts = y.agg(F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-    prior = estimate_prior(counts.p, counts.n)
     positives = bounded_ids(y.filter("y = 1").select("id"), max_positive).withColumn("kind", F.lit(1))
     ids = docs.select(docs[id_col].alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     others = bounded_ids(ids, max_unlabelled, seed=6).withColumn("kind", F.lit(0))
@@ -96,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = texts_of(docs, positives.unionByName(others), id_col, text_col).select("kind", "text").transform(mapped, run, "kind int, x binary").toPandas()
     p, u = (np.frombuffer(b"".join(found.x[found.kind == k]), np.float32).reshape(-1, DIMS).astype(np.float64) for k in (1, 0))
     if not len(p) or not len(u):
+        prior = 0.5
         return {"w": np.zeros(DIMS), "b": math.log(prior / (1 - prior)), "mean": np.zeros(DIMS), "scale": np.ones(DIMS), "prior": prior}
-    return fit_nnpu(p, u, prior)
+    return fit_nnpu(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
