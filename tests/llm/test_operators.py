@@ -1,12 +1,14 @@
 """Operators of the training-data pipeline against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillon.llm import grouped, jaccard, lm, mixing, neighbours, pieces, quality, rules, sharding, suffixes, toxicity
@@ -202,13 +204,38 @@ def brute_rules(text):
     return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed
 
 
+def brute_bands(text):
+    """kept, whole ratio, share of bad chunks, base_failed, by the limits of the module."""
+    raw, failed = (text or "").encode(), brute_rules(text)[5]
+    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    def limit(nodes):
+        n = max(1, len(raw))
+        for (x, y), (x2, y2) in zip(nodes, nodes[1:], strict=False):
+            if x <= n <= x2:
+                return y + (y2 - y) * (math.log2(n) - math.log2(x)) / (math.log2(x2) - math.log2(x))
+        return nodes[0][1] if n < nodes[0][0] else nodes[-1][1]
+
+    ratio, bad, n = len(raw) / size(raw) if raw else 0.0, 0, 0
+    if len(raw) > rules.CHUNK:
+        ends = [*range(rules.CHUNK, len(raw), rules.CHUNK), len(raw)]
+        n, bad = len(ends), sum(not rules.CHUNK_LIMITS[0] <= rules.CHUNK / size(raw[e - rules.CHUNK : e]) <= rules.CHUNK_LIMITS[1] for e in ends)
+    share = bad / max(1, n)
+    return not failed and limit(rules.LOWEST) <= ratio <= limit(rules.HIGHEST) and share <= rules.MAX_BAD_CHUNKS, ratio, share, failed
+
+
 def test_rules(spark):
     line = prose(12)
     texts = [prose(200), f"{line}\n{prose(30)}\n{line}\n\n{line}", "# a|b <c> " * 30, prose(15), "a b c d e f g h " * 9, *ODD]
     got = by_id(rules.quality_rules(frame(spark, texts)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {i: brute_rules(t) for i, t in enumerate(texts)}
-    kept = by_id(rules.quality_rules(frame(spark, [prose(300), prose(40) + " " + "z" * 9000, "".join(f"{RNG.random()}" for _ in range(3)), prose(2000)])), "kept")
-    assert kept == {0: (True,), 1: (False,), 2: (False,), 3: (True,)}
+    noise = "".join(chr(33 + RNG.randrange(90)) for _ in range(1500))
+    many = ["".join(RNG.choice("eeeaaioutnsrhldcmfpgwybvkxqz") for _ in range(RNG.randint(1, 9))) for _ in range(1500)]
+    rich = lambda n: " ".join(RNG.choice(many) for _ in range(n))
+    texts = [rich(300), rich(40) + " " + "z" * 9000, noise, rich(2000), rich(600) + " " + noise, rich(600) + " " + "z" * 1500, rich(10) + " " + noise[:900], " ".join(w + "###" for w in prose(400).split()), *texts]
+    kept = by_id(rules.quality_rules(frame(spark, texts)), "kept", "ratio", "bad_chunks", "base_failed")
+    assert {i: kept[i] for i in kept} == {i: brute_bands(t) for i, t in enumerate(texts)}
+    assert [kept[i][0] for i in range(8)] == [True, False, False, True, False, False, False, False]
     assert rules.quality_rules(frame(spark, []).limit(0)).count() == 0
 
 
@@ -284,6 +311,18 @@ def test_quality(spark):
     assert quality.score(df.limit(0), quality.train(df.limit(0), labels)).count() == 0
 
 
+def test_prior_needs_no_negatives(spark):
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        good = lambda n: rng.normal(1.5, 1, (n, 4))
+        u = np.concatenate([good(int(4000 * share)), rng.normal(-1.5, 1, (4000 - int(4000 * share), 4))])
+        assert abs(quality.estimate_prior(good(2000), rng.permutation(u)) - share) < 0.08
+    df, labels, _ = labelled(spark, 300, lambda r: prose(r.randint(10, 80), r).capitalize() + ".", lambda r: " ".join(w.upper() + "!!" for w in prose(r.randint(10, 80), r).split()), "quality")
+    few = {r.doc_id: r.score for r in quality.score(df, quality.train(df, labels.filter("quality = 1"))).collect()}
+    assert few == {r.doc_id: r.score for r in quality.score(df, quality.train(df, labels.filter("quality = 1 or doc_id <> 0"))).collect()}
+    assert {r.score for r in quality.score(df, quality.train(df, labels.limit(0))).collect()} == {0.5}
+
+
 def test_toxicity(spark):
     insults = ["blockhead", "rotter", "nitwit"]
 
@@ -313,59 +352,45 @@ def test_ordinal_gradient_reaches_order():
     assert np.allclose(w, [2, -1, 0], atol=0.3) and np.allclose(cut, [-1, 0.5, 2], atol=0.3)
 
 
-def test_lm(spark):
-    texts = [prose(60) for _ in range(60)] + [" ".join(reversed(prose(60).upper().split())) + " tgt tgt" for _ in range(20)] + ODD
-    df = frame(spark, texts)
-    targets = spark.createDataFrame([(i,) for i in range(60, 80)] + [(60,), (None,)], "doc_id long")
-    model = lm.train(df, targets, word_share=1e-3, pair_share=1e-3)
-    words = [[w for w in (t or "").encode().lower().split()] for t in texts]
-    total = sum(map(len, words))
-    count = Counter(w for x in words for w in x)
-    vocab = {w for w, k in count.items() if k >= 1e-3 * total}
-    assert len(model["vocab"]) == len(vocab)
-    known = lambda w: w if w in vocab else None
+def brute_lm(words, chosen, target, i):
+    """p(w | h) of the target and the background model without document i, and their vocabulary."""
+    vocab = {w for x in words for w in x}
+    sets = [[x for k, x in enumerate(words) if k in chosen], words]
+    n = [sum(map(len, x)) for x in sets]
+    scale = [1.0, n[0] / max(1, n[1])]
     models = []
-    for chosen in (range(60, 80), range(len(texts))):
-        one, two = Counter(known(w) for i in chosen for w in words[i]), Counter()
-        for i in chosen:
-            seq = [known(w) for w in words[i]]
-            two.update(zip(["<s>", *seq], seq, strict=False))
-        models.append((one, two, sum(one.values())))
-    listed = {p for p, k in models[1][1].items() if k >= 1e-3 * total}
-    got = by_id(lm.score(df, model), "n_tokens", "target_loss", "background_loss", "score")
-    for i, x in enumerate(words):
-        seq = [known(w) for w in x]
+    for s, x in zip(scale, ([x for k, x in enumerate(words) if k in chosen and k != i], [x for k, x in enumerate(words) if k != i]), strict=True):
+        one, two, given = Counter(w for y in x for w in y), Counter(p for y in x for p in zip([None, *y], y, strict=False)), Counter(h for y in x for h in [None, *y][: len(y)])
+
+        def p(w, h, s=s, one=one, two=two, given=given):
+            alone = (s * one[w] + lm.ADDED) / (s * sum(one.values()) + lm.ADDED * (len(vocab) + 1))
+            return (s * two[h, w] + lm.PRIOR * alone) / (s * given[h] + lm.PRIOR)
+
+        models.append(p)
+    return models, vocab
+
+
+def test_lm(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 3)
+    rng = random.Random(12)
+    texts = [prose(60, rng) + f" rare{i} rare{i}x" for i in range(30)] + [" ".join(reversed(prose(60, rng).upper().split())) + " tgt tgt" for _ in range(20)] + ["tgt", "tgt", *ODD]
+    df = frame(spark, texts)
+    targets = spark.createDataFrame([(i,) for i in range(30, 51)] + [(30,), (None,)], "doc_id long")
+    words = [(t or "").encode().lower().split() for t in texts]
+    got = by_id(lm.score_all(df, targets), "n_tokens", "target_loss", "background_loss", "score")
+    chosen = set(range(30, 51))
+    for i, seq in enumerate(words):
         assert got[i][0] == len(seq)
         if not seq:
             assert got[i][1:] == (None, None, None)
             continue
-        want = []
-        for one, two, n in models:
-            loss = 0.0
-            for before, w in zip(["<s>", *seq], seq, strict=False):
-                p = (one[w] + lm.ADDED) / (n + lm.ADDED * (len(vocab) + 1))
-                given = one[before] if before != "<s>" else one[None]
-                if (before, w) in listed and given:
-                    p = lm.BIGRAM * two[before, w] / max(given, 1) + (1 - lm.BIGRAM) * p
-                loss -= np.log(p)
-            want.append(loss / len(seq))
-        assert np.allclose(got[i][1:], [*want, want[0] - want[1]]), i
-    assert np.mean([got[i][3] for i in range(60, 80)]) < np.mean([got[i][3] for i in range(60)])
-    assert lm.score(df.limit(0), lm.train(df.limit(0), targets)).count() == 0
-
-
-def test_lm_keeps_rare_words(spark, tmp_path):
-    """Every counted word and bigram tells: equal to the listed model of all of them, which the shares cut."""
-    rng = random.Random(12)
-    texts = [prose(400, rng) + " " + " ".join(f"w{i}x{k}" for k in range(1500)) for i in range(100)] + ["w3x1 w3x2 rare", *ODD]
-    df = frame(spark, texts)
-    df = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    labels = spark.createDataFrame([(i, int(i < 9)) for i in range(60)], "doc_id long, quality int")
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
-    cols = "n_tokens", "target_loss", "background_loss", "score"
-    want = by_id(lm.score(df, lm.train(df, labels.filter("quality = 1"), word_share=0, pair_share=0)), *cols)
-    got = by_id(lm.op3_lm_scoring(spark, str(tmp_path)), *cols)
-    assert got.keys() == want.keys() and all(g[0] == want[i][0] for i, g in got.items())
-    assert all(want[i][1:] == g[1:] if not g[0] else np.allclose(g[1:], want[i][1:]) for i, g in got.items())
-    assert lm.score_all(df.limit(0), labels).count() == 0
+        models, vocab = brute_lm(words, chosen, i in chosen, i)
+        want = [-np.mean([np.log(p(w, h)) for h, w in zip([None, *seq], seq, strict=False)]) for p in models]
+        assert np.allclose(got[i][1:], [*want, want[0] - want[1]]) and min(want) >= 0, i
+        if i in (0, 35):
+            assert all(abs(sum(p(w, h) for w in [*vocab, b"never seen"]) - 1) < 1e-9 for p in models for h in (None, seq[0], b"never seen"))
+    assert np.mean([got[i][3] for i in range(30, 50)]) < np.mean([got[i][3] for i in range(30)])
+    assert all(abs(r.score) < 1e-9 for r in lm.score_all(df, targets.limit(0)).filter("n_tokens > 0").collect())
+    assert lm.score_all(df.limit(0), targets).count() == 0
+    again = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert lm.score_all(again, targets).count() == len(texts) + 1
