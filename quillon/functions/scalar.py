@@ -48,9 +48,17 @@ def text(x: Typed) -> Column:
 
 
 def divide(a: Typed, b: Typed) -> Typed:
-    left = a.col.cast("decimal(19,0)") if a.kind == "int" else decimal(a).col.cast("decimal(20,8)")
-    right = b.col.cast("decimal(19,0)") if b.kind == "int" else decimal(b).col.cast("decimal(18,8)")
-    return Typed((left / right).cast(WIDE), "dec", 18)
+    """The quotient with 18 decimals where the operands leave room for them (under 12 whole digits of the dividend,
+    10 of the divisor), else with fewer, 6 at least. Operands keep their own scale."""
+    x, y = decimal(a), decimal(b)
+    near = [(d.col, None) if t.kind == "int" else (d.col.try_cast(f"decimal({whole + d.scale},{d.scale})"), 10**whole) for t, d, whole in ((a, x, 12), (b, y, 10))]
+    exact = (near[0][0] / near[1][0]).cast(WIDE)
+    fits = [F.abs(d.col) < F.lit(most).cast("decimal(20,0)") for d, (_, most) in zip((x, y), near, strict=True) if most]
+    if not fits:
+        return Typed(exact, "dec", 18)
+    far = (x.col.cast(f"decimal(38,{x.scale})") / y.col.cast(f"decimal(38,{y.scale})")).cast(WIDE)
+    held = fits[0] if len(fits) == 1 else fits[0] & fits[1]
+    return Typed(F.when(held, exact).otherwise(far), "dec", 18)
 
 
 def arithmetic(op: str, a: Typed, b: Typed) -> Typed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import secrets
 import time
@@ -72,12 +73,21 @@ class Database(Mutations, Definitions, Migrations):
         return self.source(entity).df
 
     def revision(self, entity: str) -> str:
-        """What an exhaustive walk is bound to."""
-        if entity.lower() in self.registered:
-            return "registered"
+        """What an exhaustive walk is bound to: a version, or a registered table's files with their lengths and times."""
+        if (found := self.registered.get(entity.lower())) is not None:
+            return "registered:" + hashlib.sha256("\n".join(self._files(found.df)).encode()).hexdigest()
         snap = self.snapshot(entity)
         return f"{snap.schema.name}@{snap.number}"
 
+    def _files(self, df: DataFrame) -> list[str]:
+        """A line for each file of df; for rows that are in no file, the plan that makes them."""
+        jvm, conf, out = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), []
+        for name in sorted(df.inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            out.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+        return out or [str(df.semanticHash())]
+
     # statements
     def parse(self, text: str) -> Any:
         if text not in self._parsed:

@@ -33,6 +33,15 @@ def new_ulid(now_ms: int | None = None) -> str:
     return "".join(CROCKFORD[n >> 5 * i & 31] for i in range(25, -1, -1))
 
 
+def ulid_column(columns: list[str]) -> Column:
+    """A ULID for each row of one plan: the statement's time, and 80 bits that its seed, the row's place and the row
+    decide, so the rows that are checked are the rows that are written."""
+    seed, place = int.from_bytes(os.urandom(7), "big"), F.monotonically_increasing_id()
+    halves = [F.xxhash64(F.lit(seed + k), place, *[F.col(f"`{c}`").cast("string") for c in columns]) for k in (0, 1)]
+    chars = [F.substring(F.lit(CROCKFORD), (F.shiftrightunsigned(h, 5 * i).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for h in halves for i in range(8)]
+    return F.concat(F.lit(new_ulid()[:10]), *chars)
+
+
 def check_expression(text: str) -> Any:
     return Parser(text).expr()
 
@@ -215,7 +224,8 @@ class Mutations:
             picked = picked.toDF(*names)
             if any(f.generated == "identity" and f.name not in names for f in schema.fields):
                 refuse("insert_select_identity", "INSERT SELECT gives identities explicitly")
-            fill = {"ulid": F.expr("uuid()"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
+            now = F.lit(dt.datetime.now(dt.timezone.utc))
+            fill = {"ulid": ulid_column(picked.columns), "created_at": now, "updated_at": now}
             for f in schema.fields:
                 if f.name not in names:
                     if not (f.generated or f.has_default or f.nullable):

@@ -17,6 +17,7 @@ from quillon.functions import validators as V
 from quillon.functions.schema import EntitySchema, FieldSpec, IndexSpec, of_table
 from quillon.operators.database import Database
 from quillon.operators.fluent import agg, field, fn
+from quillon.plans import coverage
 
 #: Keys and indexes of the driver's tables.
 KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_partkey", "l_linenumber"), "events": ("event_id",), "conversations": ("conv_id", "turn")}
@@ -65,10 +66,10 @@ pair("union_of_paths", "orders", "SELECT o_orderkey FROM orders WHERE o_orderkey
 pair("intersection", "orders", "SELECT o_orderkey FROM orders WHERE o_custkey < 100 AND o_orderstatus = 'O' AND o_orderkey > 100")
 pair("empty_access", "orders", "SELECT o_orderkey FROM orders WHERE FALSE")
 pair("field_list_alias", "customer", "SELECT c_custkey AS id, c_name name FROM customer c WHERE c.c_nationkey = 3")
-pair("scalar_projection", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_orderkey < 500", f"SELECT l_orderkey, l_linenumber, l_partkey, {R('CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4)))')} AS net FROM lineitem WHERE l_orderkey < 500")
+pair("scalar_projection", "lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem", f"SELECT l_orderkey, l_linenumber, l_partkey, {R('CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4)))')} AS net FROM lineitem")
 pair("select_distinct", "orders", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 pair("distinct_order_limit", "lineitem", "SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem ORDER BY l_linenumber DESC, l_returnflag LIMIT 5 OFFSET 2", "SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem ORDER BY l_linenumber DESC, l_returnflag LIMIT 5 OFFSET 2")
-pair("predicate_and_or_not", "orders", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 1000) AND o_orderkey < 2000")
+pair("predicate_and_or_not", "orders", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 1000) AND (o_custkey > 10 OR o_orderpriority = '1-URGENT')")
 pair("predicate_compare", "part", "SELECT p_partkey FROM part WHERE p_size >= 10 AND p_size <> 20 AND p_retailprice < 1200.5")
 pair("predicate_field_to_field", "lineitem", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_partkey = l_suppkey")
 pair("predicate_in_null", "orders", "SELECT o_orderkey FROM orders WHERE o_custkey IN (1, 2, NULL)")
@@ -104,7 +105,9 @@ pair("functions_numeric", "part", "SELECT p_partkey, ABS(1 - p_size) AS a, CEIL(
 pair("functions_log_power", "part", "SELECT p_partkey, ROUND(SQRT(p_size), 4) AS q, ROUND(CBRT(p_size), 4) AS c, ROUND(LN(p_size), 4) AS l, ROUND(LOG2(p_size), 4) AS l2, ROUND(LOG10(p_size), 4) AS l10, ROUND(LOG(3, p_size), 4) AS l3, POWER(p_size, 2) AS p, ROUND(EXP(p_size / 50), 4) AS e FROM part", "SELECT p_partkey, round(sqrt(p_size), 4) AS q, round(cbrt(p_size), 4) AS c, round(ln(p_size), 4) AS l, round(log2(p_size), 4) AS l2, round(log10(p_size), 4) AS l10, round(ln(p_size) / ln(3), 4) AS l3, CAST(p_size * p_size AS DOUBLE) AS p, round(exp(p_size / 50.0), 4) AS e FROM part")
 pair("functions_text", "customer", "SELECT c_custkey, LOWER(c_name) AS lo, UPPER(c_mktsegment) AS up, LENGTH(c_name) AS n, OCTET_LENGTH(c_name) AS o, LEFT(c_name, 4) AS l, RIGHT(c_name, 3) AS r, POSITION('#', c_name) AS p, REPLACE(c_name, 'Customer', 'C') AS x, SUBSTRING(c_name, 3, 5) AS s, TRIM(c_name) AS t, LTRIM(c_name) AS lt, RTRIM(c_name) AS rt FROM customer", "SELECT c_custkey, lower(c_name) AS lo, upper(c_mktsegment) AS up, length(c_name) AS n, strlen(c_name) AS o, left(c_name, 4) AS l, right(c_name, 3) AS r, position('#' IN c_name) AS p, replace(c_name, 'Customer', 'C') AS x, substring(c_name, 3, 5) AS s, trim(c_name) AS t, ltrim(c_name) AS lt, rtrim(c_name) AS rt FROM customer")
 pair("functions_conditional", "orders", "SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'F'), 'none') AS c, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' END AS k FROM orders")
-pair("arithmetic_division", "lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, ROUND(l_extendedprice / 7, 4) AS unit FROM lineitem WHERE l_orderkey < 300", "SELECT l_orderkey, l_partkey, l_linenumber, round(l_extendedprice / 7, 4) AS unit FROM lineitem WHERE l_orderkey < 300")
+pair("arithmetic_division", "lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, ROUND(l_extendedprice / 7, 4) AS unit FROM lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, round(l_extendedprice / 7, 4) AS unit FROM lineitem")
+pair("average_wide", "orders", "SELECT o_orderstatus, ROUND(AVG(o_totalprice * 1000000)) AS a, ROUND(SUM(o_totalprice * 1000000) / COUNT(*)) AS q FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(AVG(CAST(CAST(o_totalprice AS DECIMAL(18,4)) * 1000000 AS DOUBLE))) AS a, round(AVG(CAST(CAST(o_totalprice AS DECIMAL(18,4)) * 1000000 AS DOUBLE))) AS q FROM orders GROUP BY o_orderstatus")
+pair("division_wide", "lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, ROUND(l_extendedprice * 1000000000 / 8, 2) AS unit FROM lineitem", "SELECT l_orderkey, l_partkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(28,4)) * 1000000000 / 8, 2) AS DOUBLE) AS unit FROM lineitem")
 pair("composite_key", "conversations", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 AND turn = 0")
 pair("composite_min_max_key", "conversations", "SELECT role, MIN(turn) AS lo, MAX(turn) AS hi, COUNT(DISTINCT conv_id) AS c FROM conversations GROUP BY role")
 
@@ -140,7 +143,7 @@ def get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _walk(spark: SparkSession, sf_dir: str, exhaustive: bool) -> DataFrame:
     q = database(spark, sf_dir, "customer").query("customer").select("c_custkey", "c_mktsegment").order_by("c_mktsegment").order_by_desc("c_acctbal").limit(400)
-    rows = [(k, i) for k, p in enumerate(q.pages(exhaustive)) for i in p.rows if k < 3]
+    rows = [(k, i) for k, p in enumerate(q.pages(exhaustive)) for i in p.rows]
     return spark.createDataFrame([(k, r.c_custkey, r.c_mktsegment) for k, r in rows], "page int, c_custkey long, c_mktsegment string")
 
 
@@ -178,7 +181,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     db.sql("INSERT INTO Nation (id, name, region) VALUES (100, 'a', 10), (101, 'b', 10), (102, 'c', 11)")
     db.sql("UPDATE Nation SET note = 'old' WHERE region = 1")
     db.sql("DELETE FROM Nation WHERE id >= 101")
-    db.sql("INSERT INTO Nation (id, name, region, note) SELECT id + 0, name, region, note FROM Nation WHERE id < 0")
+    db.sql("INSERT INTO Nation (id, name, region, note) SELECT id + 200, name, region, note FROM Nation WHERE region = 3")
     return db.sql("SELECT * FROM Nation")
 
 
@@ -215,10 +218,10 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "fluent_grouped": (fluent_grouped, f"SELECT l_returnflag, COUNT(*) AS n, {R('SUM(' + D8('l_quantity') + ')')} AS q, COUNT(DISTINCT l_suppkey) AS d FROM lineitem GROUP BY l_returnflag"),
     "fluent_terminals": (fluent_terminals, "SELECT COUNT(*) AS n, COUNT(*) > 0 AS any, (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first, (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey DESC LIMIT 1) AS last, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi FROM orders WHERE o_orderstatus = 'F'"),
     "get_many": (get_many, "SELECT k.pos, c_custkey, c_name FROM (VALUES (0, 5), (1, 3), (2, 5), (3, 1000000000)) k(pos, id) LEFT JOIN customer ON c_custkey = k.id"),
-    "live_pages": (live_pages, "SELECT CAST((row_number() OVER w - 1) // 400 AS INTEGER) AS page, c_custkey, c_mktsegment FROM customer WINDOW w AS (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) QUALIFY row_number() OVER w <= 1200"),
-    "exhaustive_pages": (exhaustive_pages, "SELECT CAST((row_number() OVER w - 1) // 400 AS INTEGER) AS page, c_custkey, c_mktsegment FROM customer WINDOW w AS (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) QUALIFY row_number() OVER w <= 1200"),
+    "live_pages": (live_pages, "SELECT CAST((row_number() OVER w - 1) // 400 AS INTEGER) AS page, c_custkey, c_mktsegment FROM customer WINDOW w AS (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey)"),
+    "exhaustive_pages": (exhaustive_pages, "SELECT CAST((row_number() OVER w - 1) // 400 AS INTEGER) AS page, c_custkey, c_mktsegment FROM customer WINDOW w AS (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey)"),
     "grouped_pages": (grouped_pages, "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"),
-    "mutations": (mutations, "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, CASE WHEN n_regionkey = 1 THEN 'old' END AS note FROM nation UNION ALL SELECT 100, 'a', 10, 'new'"),
+    "mutations": (mutations, "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, CASE WHEN n_regionkey = 1 THEN 'old' END AS note FROM nation UNION ALL SELECT 100, 'a', 10, 'new' UNION ALL SELECT n_nationkey + 200, n_name, n_regionkey, NULL FROM nation WHERE n_regionkey = 3"),
     "returning": (returning, "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2 ORDER BY n_name, n_nationkey LIMIT 3"),
     "ddl_columns": (ddl_columns, "SELECT r_regionkey AS id, r_name AS label, CAST(7 AS BIGINT) AS size FROM region UNION ALL SELECT 20, 'x', 9"),
     "integrity_check": (integrity_check, "SELECT CAST('' AS VARCHAR) AS problem, CAST(0 AS BIGINT) AS rows FROM region WHERE FALSE"),
@@ -228,8 +231,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: sql(ours, entity) for name, (entity, ours, _) in PAIRS.items()} | {name: f for name, (f, _) in OTHERS.items()}
+    return {name: sql(ours, entity) for name, (entity, ours, _) in PAIRS.items()} | {name: f for name, (f, _) in OTHERS.items()} | coverage.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: theirs for name, (_, _, theirs) in PAIRS.items()} | {name: text for name, (_, text) in OTHERS.items() if text}
+    return {name: theirs for name, (_, _, theirs) in PAIRS.items()} | {name: text for name, (_, text) in OTHERS.items() if text} | coverage.oracle_sql()

@@ -222,7 +222,7 @@ def aggregate(x: N.Agg, scope: Scope, order: list[Column] | None = None) -> Type
         if x.name == "SUM":
             return Typed(total, "dec", d.scale)
         n = (F.count_distinct if x.distinct else F.count)(c)
-        return Typed(F.when(n > 0, S.divide(Typed(total.cast("decimal(28,8)"), "dec", 8), Typed(n, "int")).col), "dec", 18)
+        return Typed(F.when(n > 0, S.divide(Typed(total, "dec", d.scale), Typed(n, "int")).col), "dec", 18)
     if x.name in ("MIN", "MAX"):
         if x.arg is not None and arg.kind in UNORDERED:
             refuse("type_mismatch", f"{arg.kind} has no order")
