@@ -10,11 +10,14 @@ d <= (100 - t) / (100 + t) * (|A| + |B|) shingles, so in at most d parts, so the
 tokens. m depends on a size class; a set of a size near a class's upper end has tokens of the next
 class too. Parts of a single shingle make no tokens, and count against the bound; the few sets that are
 left without a bound also have prefix tokens. A row of the matrix is a group that holds a token in its
-union; a query set's overlap with the group is the number of its tokens there, and a group is opened only
-if the overlap reaches the bound. A passage that many documents share is in parts with each document's own
-shingles, so it makes no pairs.
-
-Of two groups the smaller one's sets are the queries. An opened group's sets are compared exactly, by
+union. With a bound of b, two linked sets have in common one of the tokens that are left of either when its b - 1
+most frequent ones are set aside, for else fewer than b would be common; so only these ask and answer, and a
+group is opened for a set that has one of them in the group's union. A set with fewer than b tokens in
+common with any other opens nothing. A passage that many documents share is in parts with each document's own
+shingles, or in their most frequent tokens, so it makes no pairs.
+
+Of two groups the smaller one's sets are the queries. A token's groups first ask only the largest of them; then, of
+the groups whose sets aren't all connected yet, each asks each other one that shares a token with it. An opened group's sets are compared exactly, by
 walking from each set to those not reached yet: links come out as a spanning forest, never as all pairs.
 """
 
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, mapped, staged, table
+from quillon.llm.common import discard, mapped, staged, table, tasks
 from quillon.llm.grouped import by_group, components
 
 #: Ratio of a size class; more sets than this in a group are split into blocks.
@@ -73,7 +76,7 @@ def parts_of(k: int, percent: int) -> int:
 
 
 def tokens(sets: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(tokens that any linked set shares at least, tokens) of a set, for its class and, near its end, the next.
+    """(tokens that any linked set shares at least, tokens) of a set, for its class and, near its end, the next ones up to that of the largest linked set.
 
     Parts of at most LIGHT shingles are left out, as unrelated sets share them often; the bound falls by
     their number. A set for which it would fall below 1 also has its prefix as tokens: the shingles of the
@@ -84,7 +87,7 @@ def tokens(sets: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     if not n:
         return 0, sets
     most = most_different(n, n * 100 // percent, percent)
-    for k in {size_class(n), size_class(max(n, n * 100 // percent))}:
+    for k in range(size_class(n), size_class(max(n, n * 100 // percent)) + 1):
         m = parts_of(k, percent)
         part = ((sets >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -110,63 +113,93 @@ def _links(near: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.n
     return 100 * near >= percent * (size + sizes - near)
 
 
-def _open(percent: int, width: int):
-    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Spanning links of one group's members, and of queries with them."""
-        node, member = group["node"].to_numpy(), group["member"].to_numpy(zero_copy_only=False).astype(bool)
-        press = zstandard.ZstdDecompressor()
-        sets = [shingles(press.decompress(z.as_py()).decode("utf-8", "surrogatepass"), width) for z in group["z"]]
-        sizes = np.array([len(x) for x in sets])
-        inside = np.flatnonzero(member)
-        count, at = len(inside), {int(j): i for i, j in enumerate(inside)}
-        owner = np.repeat(np.arange(count), sizes[inside])
-        flat = np.concatenate([sets[j] for j in inside] + [np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        flat, owner, inside_sizes = flat[order], owner[order], sizes[inside]
-
-        def common(x: np.ndarray) -> np.ndarray:
-            first, last = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            k = last - first
-            spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
-            return np.bincount(owner[spots], minlength=count)
+class _Group:
+    """One group's members, and the spanning links of queries with them."""
 
-        a, b, tree = [], [], np.full(count, -1)
-        free = np.ones(count, bool)
-        for root in range(count):
+    def __init__(self, node: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, percent: int) -> None:
+        self.node, self.sets, self.percent = node, sets, percent
+        self.sizes = np.array([len(x) for x in sets])
+        owner, flat = np.repeat(np.arange(len(sets)), self.sizes), np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+        self.tree = tree
+
+    def linked(self, x: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        k = last - first
+        spots = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
+        return _links(np.bincount(self.owner[spots], minlength=len(self.sets)), len(x), self.sizes, self.percent)
+
+    def inside(self) -> list[tuple[int, int]]:
+        """A spanning forest of the members' links, by walking from each set to those not reached yet."""
+        out, free = [], np.ones(len(self.sets), bool)
+        for root in range(len(self.sets)):
             if not free[root]:
                 continue
-            free[root], walk = False, [root]
-            tree[root] = root
+            free[root], self.tree[root], walk = False, root, [root]
             while walk and free.any():
                 i = walk.pop()
-                j = int(inside[i])
-                found = np.flatnonzero(free & _links(common(sets[j]), sizes[j], inside_sizes, percent))
-                free[found] = False
-                tree[found] = root
+                found = np.flatnonzero(free & self.linked(self.sets[i]))
+                free[found], self.tree[found] = False, root
                 walk += found.tolist()
-                a += [int(node[j])] * len(found)
-                b += node[inside[found]].tolist()
-            tree[walk] = root
-        for j in np.flatnonzero(~member):
-            found = np.flatnonzero(_links(common(sets[j]), sizes[j], inside_sizes, percent))
-            for i in dict(zip(tree[found].tolist(), found.tolist(), strict=True)).values():  # one link to each tree
-                a.append(int(node[j]))
-                b.append(int(node[inside[i]]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return work
+                out += [(int(self.node[i]), j) for j in self.node[found].tolist()]
+        return out
 
+    def asked(self, node: int, x: np.ndarray) -> list[tuple[int, int]]:
+        """One link of a query to each tree of members that it links with."""
+        found = np.flatnonzero(self.linked(x))
+        return [(node, int(self.node[i])) for i in dict(zip(self.tree[found].tolist(), found.tolist(), strict=True)).values()]
 
-def _qualifying(asked: DataFrame) -> DataFrame:
-    """node, other of the groups whose overlap with the node's tokens reaches the bound."""
-    overlaps = asked.groupBy("node", "need", "other").agg(F.count(F.lit(1)).alias("overlap"))
-    return overlaps.filter("overlap >= need").select("node", "other")
 
+def _open(percent: int, width: int, again: bool):
+    """Links of groups: a group's members are held, its queries, which come after them, pass by. The members' own
+    links are looked for unless groups are opened again; then `tree` has the components known so far."""
 
-def _compare(texts: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, percent: int, width: int) -> DataFrame:
-    """a, b: spanning links inside groups (node, grp of members) and of queries (node, grp) with them."""
-    to = members.withColumn("member", F.lit(True)).unionByName(queries.withColumn("member", F.lit(False)))
-    deliver = to.groupBy("node").agg(F.collect_list(F.struct("grp", "member")).alias("to")).join(nodes.select("node", "s1", "s2", "rep"), "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        key, node, sets, trees, group = None, [], [], [], None
+
+        def edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+
+        def held() -> tuple[_Group, list[tuple[int, int]]]:
+            made = _Group(np.array(node, np.int64), sets, np.array(trees, np.int64), percent)
+            return made, [] if again else made.inside()
+
+        for b in batches:
+            rows: list[tuple[int, int]] = []
+            for n, z, grp, query, tree in zip(b.column("node").to_pylist(), b.column("z"), *(b.column(c).to_pylist() for c in ("grp", "query", "tree")), strict=True):
+                if grp != key:
+                    if key is not None and group is None:
+                        rows += held()[1]
+                    key, node, sets, trees, group = grp, [], [], [], None
+                x = shingles(press.decompress(z.as_py()).decode("utf-8", "surrogatepass"), width)
+                if not query:
+                    node.append(n)
+                    sets.append(x)
+                    trees.append(tree)
+                    continue
+                if group is None:
+                    group, more = held()
+                    rows += more
+                rows += group.asked(n, x)
+            yield edges(rows)
+        if key is not None and group is None:
+            yield edges(held()[1])
+
+    return run
+
+
+def _qualifying(pairs: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The sets of one group that open another; a row of pairs is a token of both, with the first one's sets."""
+    able = np.unique(pairs["asking"].combine_chunks().flatten().to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(able, pa.int64()), pa.array(np.full(len(able), pairs["other"][0].as_py()), pa.int64())], ["node", "grp"])
+
+
+def _compare(texts: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, percent: int, width: int, again: bool = False) -> DataFrame:
+    """a, b: spanning links inside groups (node, grp, tree of members) and of queries (node, grp) with them."""
+    to = members.withColumn("query", F.lit(False)).unionByName(queries.withColumns({"query": F.lit(True), "tree": F.lit(0).cast("long")}))
+    deliver = to.groupBy("node").agg(F.collect_list(F.struct("grp", "query", "tree")).alias("to")).join(nodes.select("node", "s1", "s2", "rep"), "node")
     deliver = staged(deliver, "jaccard-deliver")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +224,9 @@ def _compare(texts: DataFrame, nodes: DataFrame, members: DataFrame, queries: Da
 
         named = texts.filter("id is null").select("text").transform(mapped, name, "z binary, s1 long, s2 long")
         plain = plain.unionByName(named.join(deliver.filter("rep is null").select("s1", "s2", "node", "to"), ["s1", "s2"]).select("node", "to", "z"))
-    sent = plain.select("node", "z", F.explode("to").alias("x")).select("node", "z", "x.grp", "x.member")
-    return by_group(sent, "grp", _open(percent, width), "a long, b long")
+    sent = plain.select("node", "z", F.explode("to").alias("x")).select("node", "z", "x.*")
+    dealt = sent.repartition(tasks(sent.sparkSession, 12), "grp").sortWithinPartitions("grp", "query")
+    return dealt.transform(mapped, _open(percent, width, again), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -251,18 +285,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("sets"))
     placed = placed.join(sizes, "family").withColumn("grp", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / MAX_GROUP).cast("long"))))
     placed = staged(placed.select("node", "need", "grp", "sets"), "jaccard-groups")
-    # of two groups that share tokens the smaller one's sets ask the other
-    cells = cells.join(placed, "node")
+    # of each set's tokens its `need` - 1 most frequent ones are set aside
+    holders = cells.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    own = Window.partitionBy("node")
+    cells = cells.join(holders.hint("merge"), "token").join(placed.hint("merge"), "node")
+    cells = cells.withColumns({"held": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy("holders", "token"))}).filter("at <= held - need + 1")
     between = cells.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
     cells = staged(cells.join(between, "token"), "jaccard-between")
     discard(once)
-    matrix = cells.groupBy("token", "grp").agg(F.first("sets").alias("other_sets")).withColumnRenamed("grp", "other")
-    asked = cells.join(matrix, "token").filter(F.struct("sets", "grp") < F.struct(F.col("other_sets").alias("sets"), F.col("other").alias("grp")))
-    opened = staged(_qualifying(asked).select("node", F.col("other").alias("grp")), "jaccard-opened")
-    discard(cells)
+    once, cells = cells, cells.select("token", "node", "grp", "sets")
+    # a cell of the matrix is a token of a group, with its sets that have it (MAX_GROUP at most): groups meet at a
+    # token once, however many sets each has
+    pair = F.struct("sets", "grp") < F.struct(F.col("other_sets").alias("sets"), F.col("other").alias("grp"))
+
+    def ask(asked: DataFrame, label: str) -> DataFrame:
+        asked = asked.filter(pair).select(F.xxhash64("grp", "other").alias("pair"), "other", "asking")
+        return staged(by_group(asked, "pair", _qualifying, "node long, grp long"), label)
+
+    matrix = staged(cells.groupBy("token", "grp").agg(F.first("sets").alias("sets"), F.collect_list("node").alias("asking")), "jaccard-matrix")
+    largest = matrix.groupBy("token").agg(F.max(F.struct("sets", "grp")).alias("top")).select("token", F.col("top.sets").alias("other_sets"), F.col("top.grp").alias("other"))
+    opened = ask(matrix.join(largest.hint("merge"), "token"), "jaccard-opened")
+    discard(matrix)
     used = opened.select("grp").distinct().withColumn("used", F.lit(True))
-    members = placed.join(used, "grp", "left").filter((F.col("sets") > 1) | F.col("used")).select("node", "grp")
+    members = placed.join(used, "grp", "left").filter((F.col("sets") > 1) | F.col("used")).select("node", "grp", F.col("node").alias("tree"))
     edges = staged(_compare(texts, nodes, members, opened, percent, width), "jaccard-links")
+    reached = staged(components(edges, "jaccard-round"), "jaccard-reached").select("node", F.col("component").alias("tree"))
+    cells = cells.join(reached, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    apart = cells.groupBy("token").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).filter("low <> high").select("token")
+    cells = cells.join(apart.hint("merge"), "token")
+    matrix = staged(cells.groupBy("token", "grp").agg(F.first("sets").alias("sets"), F.min("tree").alias("low"), F.max("tree").alias("high"), F.collect_list("node").alias("asking")), "jaccard-rest")
+    others = matrix.select("token", F.col("grp").alias("other"), F.col("sets").alias("other_sets"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    one = (F.col("low") == F.col("high")) & (F.col("other_low") == F.col("other_high")) & (F.col("low") == F.col("other_low"))
+    opened = ask(matrix.join(others.hint("merge"), "token").filter(~one), "jaccard-opened-again")
+    discard(matrix, once)
+    members = placed.join(opened.select("grp").distinct(), "grp", "left_semi").select("node", "grp").join(reached, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    more = _compare(texts, nodes, members, opened, percent, width, again=True)
+    edges = staged(edges.unionByName(more), "jaccard-all-links")
     reached = components(edges, "jaccard-round")
     found = nodes.select("s1", "s2", "node", "rep").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
