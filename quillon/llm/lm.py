@@ -11,9 +11,9 @@ background's for the background, so both weigh their smoothing alike. Every cont
 scored by the models of all other rows: its own counts are taken off first. Its score is the mean over its tokens
 of target loss less background loss, in nats: the lower, the closer to the target.
 
-No n-gram is dropped, and none is gathered: blocks of BLOCK rows send their distinct words and bigrams to buckets,
-dealt by hash, which add them up and send back the sums of those that other blocks have as well. A word that
-every document has is one entry of a block, so no key is hot.
+No n-gram is dropped, and none is gathered: blocks of rows, a batch each, send their distinct words and bigrams to
+buckets, dealt by hash, which add them up and send back the sums of those that other blocks have as well, in
+the order in which they came. A word that every document has is one entry of a block, so no key is hot.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +35,6 @@ from quillon.llm.labelled import training_labels
 #: Added count of each word of the vocabulary, and weight of p(w) in a bigram's context, in counts.
 ADDED, PRIOR = 0.5, 5.0
 START = 2
-#: Rows of a block, as a power of two.
-BLOCK = 9
 #: No more rows of target ids are broadcast; beyond it the ids are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Bytes of a hash that are kept.
@@ -59,46 +57,104 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(8)) | np.uint64(1)
 
 
-class Counts:
-    """Sums by hash, sorted: occurrences, those that end a document, and the same in target documents."""
+def _runs(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new value of any of the arrays begins."""
+    new = np.ones(len(sorted_[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_], axis=0)
+    return np.flatnonzero(new)
 
-    def __init__(self, keys: np.ndarray, sums: np.ndarray) -> None:
-        self.keys, self.sums = keys, sums
 
-    @classmethod
-    def of(cls, texts: list[tuple[np.ndarray, np.ndarray]], target: list[bool]) -> Counts:
-        parts, rows = [np.zeros(0, np.uint64)], [np.zeros((4, 0), np.int64)]
-        for (words, pairs), t in zip(texts, target, strict=True):
-            n = np.zeros((4, 2 * len(words)), np.int64)
-            n[0] = 1
-            if len(words):
-                n[1, len(words) - 1] = 1
-            n[2:] = n[:2] * t
-            parts += [words, pairs]
-            rows.append(n)
-        return cls.added(np.concatenate(parts), np.concatenate(rows, axis=1))
+def added(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed columns of sums, the place of each key among them, and the stable order of keys."""
+    order = np.argsort(keys, kind="stable")
+    first = _runs(keys[order])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return keys[order[first]], np.add.reduceat(sums[:, order], first, axis=1) if len(first) else sums, place, order
 
-    @classmethod
-    def added(cls, keys: np.ndarray, rows: np.ndarray) -> Counts:
-        order = np.argsort(keys, kind="stable")
-        keys, rows = keys[order], rows[:, order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        return cls(keys[first], np.add.reduceat(rows, first, axis=1) if len(first) else rows)
 
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        return self.sums[:, np.searchsorted(self.keys, keys)]
-
-
-def _pack(keys: np.ndarray, sums: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    body = np.ascontiguousarray(sums).view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes()
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() + press.compress(body)
+class Block:
+    """A block's words and bigrams, all texts' words one after another and then all their bigrams.
 
+    sums has for each distinct hash its occurrences, those that end a document, and the same in target
+    documents.
+    """
 
-def _unpack(n: int, load: bytes, press: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.zeros((n, 8), np.uint8)
-    keys[:, :KEPT] = np.frombuffer(load, np.uint8, n * KEPT).reshape(n, KEPT)
-    body = np.frombuffer(press.decompress(load[n * KEPT :]), np.uint8).reshape(4, 8, n).transpose(0, 2, 1)
-    return keys.view("<u8").ravel(), np.ascontiguousarray(body).view(np.int64).reshape(4, n)
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], target: list[bool]) -> None:
+        self.length = np.array([len(w) for w, _ in texts], np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.length)
+        self.target = np.array(target, np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in texts), *(p for _, p in texts)])
+        k, ends = len(self.doc), np.cumsum(self.length)[self.length > 0] - 1
+        rows = np.zeros((4, 2 * k), np.int64)
+        rows[0], rows[1, ends] = 1, 1
+        docs = np.tile(self.doc, 2)
+        rows[2:] = rows[:2] * self.target[docs]
+        self.keys, self.sums, self.place, self.order = added(flat, rows)
+        self.ends = rows[1]
+
+    def own(self) -> np.ndarray:
+        """Occurrences of each hash in its document alone, and those that end it. Equal hashes are in the order
+        of documents, as words and bigrams have no hash in common."""
+        docs, out = np.tile(self.doc, 2), np.empty((2, len(self.place)), np.int64)
+        if len(docs):
+            first = _runs(self.place[self.order], docs[self.order])
+            many = np.diff(np.append(first, len(docs)))
+            out[:, self.order] = np.repeat(np.stack([many, np.add.reduceat(self.ends[self.order], first)]), many, axis=1)
+        return out
+
+    def losses(self, model: dict) -> np.ndarray:
+        """Each text's mean loss under the target and the background model without it; nan without words."""
+        k, own, out = len(self.doc), self.own(), []
+        mine, word, pair = self.target[self.doc], self.place[:k], self.place[k:]
+        begins = np.append(True, self.doc[1:] != self.doc[:-1])[:k]
+        for row, s, tokens, starts, part in ((2, 1.0, model["t"], model["t_docs"], mine), (0, model["scale"], model["n"], model["n_docs"], np.ones(k, np.int64))):
+            count = self.sums[row : row + 2, word] - part * own[:, :k]
+            one = (s * count[0] + ADDED) / (s * (tokens - part * self.length[self.doc]) + ADDED * model["size"])
+            given = np.where(begins, starts - part, np.append(0, (count[0] - count[1])[:-1])[:k])
+            p = (s * (self.sums[row, pair] - part * own[0, k:]) + PRIOR * one) / (s * given + PRIOR)
+            with np.errstate(invalid="ignore"):
+                out.append(np.bincount(self.doc, -np.log(p), len(self.length)) / np.where(self.length > 0, self.length, np.nan))
+        return np.stack(out)
+
+
+def _pack(sums: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    return press.compress(np.ascontiguousarray(sums).view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes())
+
+
+def _unpack(load: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    body = np.frombuffer(press.decompress(load), np.uint8).reshape(4, 8, -1).transpose(0, 2, 1)
+    return np.ascontiguousarray(body).view(np.int64).reshape(4, -1)
+
+
+def _keys(load: bytes) -> np.ndarray:
+    keys = np.zeros((len(load) // KEPT, 8), np.uint8)
+    keys[:, :KEPT] = np.frombuffer(load, np.uint8).reshape(-1, KEPT)
+    return keys.view("<u8").ravel()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one row: its number and its rows, compressed."""
+    press, first = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33
+    for k, b in enumerate(batches):
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, b.schema) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([first | k], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["block", "load"])
+
+
+def _rows(load: bytes) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]], list[bool]]:
+    """ids, words and bigrams, and marks of a block's rows."""
+    rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(load)).read_all().combine_chunks()
+    return rows.column(0).combine_chunks(), [grams(t.as_py()) for t in rows.column(1)], rows.column(2).to_pylist()
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Which of the sorted keys go to which bucket."""
+    bucket = (keys // np.uint64(2) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    return [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +162,6 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return words, pair_hashes(words)
 
 
-def losses(words: np.ndarray, pairs: np.ndarray, target: bool, counts: Counts, model: dict) -> tuple[float, float]:
-    """Mean losses of a text of at least one word, under the target and the background model without it."""
-    own, k = Counts.of([(words, pairs)], [target]), len(words)
-    word, pair = counts.at(words) - own.at(words), counts.at(pairs) - own.at(pairs)
-    out = []
-    for row, s, tokens, starts, mine in ((2, 1.0, model["t"], model["t_docs"], target), (0, model["scale"], model["n"], model["n_docs"], True)):
-        one = (s * word[row] + ADDED) / (s * (tokens - mine * k) + ADDED * model["size"])
-        given = np.append(starts - mine, (word[row] - word[row + 1])[:-1])
-        out.append(float(-np.log((s * pair[row] + PRIOR * one) / (s * given + PRIOR)).mean()))
-    return out[0], out[1]
-
-
 def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and whether targets has the id, of every row of docs."""
     ids = targets.select(targets[id_col].alias("id")).filter(F.col("id").isNotNull()).distinct().withColumn("target", F.lit(True))
@@ -127,22 +171,23 @@ def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str) ->
 
 
 def _add(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """What one bucket sends back to each block: the sums of hashes that other blocks have too; and its totals."""
+    """What one bucket sends back to each block: sums in the order of the block's hashes, 0 for those that no
+    other block has; and its totals, as block -1."""
     squeeze, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    loads = [_unpack(n, x.as_py(), squeeze) for n, x in zip(group["entries"].to_pylist(), group["load"], strict=True)]
-    every = Counts.added(np.concatenate([x[0] for x in loads]), np.concatenate([x[1] for x in loads], axis=1))
-    names = ["block", "entries", "load", "words", "n", "n_docs", "t", "t_docs"]
+    loads = [(_keys(k.as_py()), _unpack(x.as_py(), squeeze)) for k, x in zip(group["keys"], group["load"], strict=True)]
+    keys, sums, place, _ = added(np.concatenate([x[0] for x in loads]), np.concatenate([x[1] for x in loads], axis=1))
+    names = ["block", "bucket", "load", "words", "n", "n_docs", "t", "t_docs"]
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
+    def batch(*row) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-    word = every.keys % np.uint64(2) == 0
-    yield batch([(-1, 0, b"", int(word.sum()), *every.sums[:, word].sum(1).tolist())])
-    for block, (keys, sums) in zip(group["block"].to_pylist(), loads, strict=True):
-        found = every.at(keys)
-        more = found[0] > sums[0]
-        yield batch([(block, int(more.sum()), _pack(keys[more], found[:, more], press), 0, 0, 0, 0, 0)])
+    word, bucket, at = keys % np.uint64(2) == 0, group["bucket"][0].as_py(), 0
+    yield batch(-1, bucket, b"", int(word.sum()), *sums[:, word].sum(1).tolist())
+    for block, (_, own) in zip(group["block"].to_pylist(), loads, strict=True):
+        found = sums[:, place[at : at + own.shape[1]]]
+        at += own.shape[1]
+        yield batch(block, bucket, _pack(found * (found[0] > own[0]), press), 0, 0, 0, 0, 0)
 
 
 def score_all(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,55 +199,39 @@ def score_all(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     kind = docs.select(id_col).schema.fields[0].dataType.simpleString()
-    texts = _marked(docs, targets, id_col, text_col).withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK))
-    texts, buckets = staged(texts, "lm-texts"), tasks(spark, 12)
+    blocks = staged(_marked(docs, targets, id_col, text_col).transform(mapped, _blocks, "block long, load binary"), "lm-blocks")
+    buckets = tasks(spark, 12)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        marks: list[bool] = []
-        now = None
-
-        def sent() -> pa.RecordBatch:
-            sums = Counts.of(held, marks)
-            bucket = (sums.keys // np.uint64(2) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-            parts = [order[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-            held.clear()
-            marks.clear()
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[x[0]]) for x in parts], pa.int64()), pa.array([now] * len(parts), pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([_pack(sums.keys[x], sums.sums[:, x], press) for x in parts], pa.binary())], ["bucket", "block", "entries", "load"])
-
         for b in batches:
-            for text, target, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if block != now and held:
-                    yield sent()
-                now = block
-                held.append(grams(text.as_py()))
-                marks.append(target)
-        if held:
-            yield sent()
-
-    asked = texts.select("text", "target", "block").transform(mapped, deal, "bucket long, block long, entries long, load binary")
+            for block, load in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, texts, target = _rows(load.as_py())
+                sums = Block(texts, target)
+                parts = _dealt(sums.keys, buckets)
+                keys = [sums.keys[x].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes() for _, x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array(keys, pa.binary()), pa.array([_pack(sums.sums[:, x], press) for _, x in parts], pa.binary())], ["bucket", "block", "keys", "load"])
+
     sums = "words long, n long, n_docs long, t long, t_docs long"
-    answers = staged(by_group(asked, "bucket", _add, f"block long, entries long, load binary, {sums}"), "lm-answers")
+    asked = blocks.transform(mapped, deal, "bucket long, block long, keys binary, load binary")
+    answers = staged(by_group(asked, "bucket", _add, f"block long, bucket long, load binary, {sums}"), "lm-answers")
     total = answers.filter("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n", "n_docs", "t", "t_docs"))).first().asDict()
     model = total | {"size": total["words"] + 1, "scale": total["t"] / max(1, total["n"])}
 
     def finish(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdDecompressor()
-        sent = pc.is_valid(group["entries"])
-        own, more = group.filter(pc.invert(sent)), group.filter(sent)
-        texts, target = [grams(t.as_py()) for t in own["text"]], own["target"].to_pylist()
-        counts = Counts.of(texts, target)
-        for n, load in zip(more["entries"].to_pylist(), more["load"], strict=True):
-            keys, found = _unpack(n, load.as_py(), squeeze)
-            counts.sums[:, np.searchsorted(counts.keys, keys)] = found
-        out = [losses(*x, t, counts, model) if len(x[0]) else (None, None) for x, t in zip(texts, target, strict=True)]
-        cols = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array([None if x[0] is None else x[0] - x[1] for x in out], pa.float64())]
-        yield pa.RecordBatch.from_arrays([own["id"].combine_chunks(), pa.array([len(x[0]) for x in texts], pa.int64()), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    both = texts.unionByName(answers.filter("block >= 0").select("block", "entries", "load"), allowMissingColumns=True)
+        squeeze, sent = zstandard.ZstdDecompressor(), dict(zip(group["bucket"].to_pylist(), group["load"], strict=True))
+        ids, texts, target = _rows(sent[None].as_py())
+        rows = Block(texts, target)
+        for bucket, spots in _dealt(rows.keys, buckets):
+            found = _unpack(sent[bucket].as_py(), squeeze)
+            more = found[0] > 0
+            rows.sums[:, spots[more]] = found[:, more]
+        target_loss, loss = rows.losses(model)
+        empty = np.isnan(loss)
+        cols = [pa.array(x, pa.float64(), mask=empty) for x in (target_loss, loss, target_loss - loss)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(rows.length), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    both = blocks.unionByName(answers.filter("block >= 0").select("block", "bucket", "load"), allowMissingColumns=True)
     return by_group(both, "block", finish, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 

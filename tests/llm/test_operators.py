@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quillon.llm import grouped, jaccard, lm, mixing, neighbours, pieces, quality, rules, sharding, suffixes, toxicity
+from quillon.llm import common, grouped, jaccard, lm, mixing, neighbours, pieces, quality, rules, sharding, suffixes, toxicity
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -371,7 +371,7 @@ def brute_lm(words, chosen, target, i):
 
 
 def test_lm(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK", 3)
+    monkeypatch.setattr(common, "BATCH_ROWS", "7")
     rng = random.Random(12)
     texts = [prose(60, rng) + f" rare{i} rare{i}x" for i in range(30)] + [" ".join(reversed(prose(60, rng).upper().split())) + " tgt tgt" for _ in range(20)] + ["tgt", "tgt", *ODD]
     df = frame(spark, texts)
