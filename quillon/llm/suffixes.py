@@ -13,8 +13,11 @@ their triples; equal names recurse on the string of names; the remaining suffixe
 first byte and the rank after it and merged; then neighbours' prefixes are compared, those of `report` and those
 of `length` bytes. Names that already cover `length` bytes need no further recursion.
 
-A seed with more than MAX_GROUP different contexts would be one large group; its strings go through a
-shuffle of their hashes instead, which any number of tasks share. Nothing is dropped on either way.
+A seed with more than MAX_GROUP different contexts would be one large group. Its contexts are cut by distance
+from the anchor into blocks of STEPS[0] starts, and grouped anew by what all strings of a block share: equal
+strings stay together, the rest mostly part. Blocks that occur twice repeat as a whole, the others are sorted
+as above; groups that are still larger are cut into shorter blocks, at last into single strings, which
+counting settles. Nothing is dropped on either way.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from quillon.llm.common import discard, mapped, staged, table
 from quillon.llm.grouped import by_group
 
 SEED, MAX_GROUP, BUCKET, SEGMENT = 80, 1500, 2048, 1 << 21
+#: Starts of a block in groups that are too large, and in what is too large still.
+STEPS = (32, 4, 1)
 #: Passages of over 50 words, of four letters and a space or so, have this many bytes at least.
 PASSAGE = 240
 #: Bytes sorted at a time, unless one seed alone has more; names of so many suffixes fit in 21 bits.
@@ -188,6 +193,50 @@ def contexts_of(raw: bytes, report: int, length: int, roller: Roller) -> dict[tu
     return out
 
 
+def blocks_of(raw: bytes, reach: int, step: int, report: int, length: int, roller: Roller) -> Iterator[tuple[int, int, int, int]]:
+    """(hash of what all strings of a block share, hash of the block, first start, last start) of a context's
+    blocks: `step` starts, counted from the anchor, so that equal strings stand in equal places of blocks."""
+    view = memoryview(raw)
+    seeds = roller.hashes(np.frombuffer(raw, np.uint8)[:report], SEED)
+    spot = int(np.argmin((seeds & U(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=np.uint64)))
+    for k in range((spot - reach) // step, spot // step + 1):
+        last = spot - k * step
+        core = xxhash.xxh3_64_intdigest(view[last : last - step + 1 + report], k)
+        first, last = max(0, last - step + 1), min(reach, last)
+        yield core, xxhash.xxh3_64_intdigest(view[first : last + length], (spot - first) * step + last - first), first, last
+
+
+def cut_blocks(large: DataFrame, step: int, report: int, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of large groups (g, m, t1, t2, start, reach, bytes) in blocks of `step` starts: spans of the blocks
+    that repeat as a whole, and what is left to compare, in the same columns (None for single strings)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller()
+        for b in batches:
+            rows = []
+            for g, t1, t2, at, reach, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(g, core - (1 << 63), c - (1 << 63), t1, t2, at, at + i, at + j, at + min(j, len(raw) - length)) for core, c, i, j in blocks_of(raw, reach, step, report, length, roller)]
+            yield _batch([(n, pa.int64()) for n in ("g", "h", "c", "t1", "t2", "at", "start", "last", "far")], rows)
+
+    chosen = large.select("g", "t1", "t2", "start", "reach", "bytes")
+    blocks = staged(chosen.transform(mapped, find, "g long, h long, c long, t1 long, t2 long, at long, start long, last long, far long").distinct(), "repeat-blocks")
+    counted = blocks.groupBy("g", "h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "at", "start", "last")).alias("one"))
+    again = blocks.join(counted.filter("n > 1").select("g", "h", "c").hint("merge"), ["g", "h", "c"], "left_semi")
+    wide = again.filter("start <= far").select("t1", "t2", F.lit(True).alias("wide"), "start", F.col("far").alias("last"))
+    if step == 1:
+        again = blocks.join(blocks.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "h").hint("merge"), ["g", "h"], "left_semi")
+    spans = wide if report == length else wide.unionByName(again.select("t1", "t2", F.lit(False).alias("wide"), "start", "last"))
+    if step == 1:
+        return spans, None
+    counted = staged(counted.select("g", "h", "one"), "repeat-block-contexts")
+    mixed = counted.groupBy("g", "h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    need = counted.join(mixed.hint("merge"), ["g", "h"]).select(F.xxhash64("g", "h").alias("g"), "m", "one.*")
+    lists = need.groupBy("t1", "t2", "at").agg(F.collect_list(F.struct("g", "m", "start", "last")).alias("places")).withColumnRenamed("at", "from")
+    held = chosen.select("t1", "t2", F.col("start").alias("from"), "bytes").join(lists.hint("merge"), ["t1", "t2", "from"])
+    part = F.substring("bytes", F.col("p.start") - F.col("from") + 1, F.col("p.last") - F.col("p.start") + length)
+    return spans, held.select("t1", "t2", "from", "bytes", F.explode("places").alias("p")).select("p.g", "p.m", "t1", "t2", "p.start", (F.col("p.last") - F.col("p.start")).alias("reach"), part.alias("bytes"))
+
+
 def repeat_starts(docs: DataFrame, text_col: str, length: int, report: int | None = None) -> DataFrame:
     """t1, t2 (name of a text), wide, start, last: runs of starts of strings of `length` bytes (wide) and of
     `report` bytes (by default `length` as well) that start anywhere else too."""
@@ -231,8 +280,7 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int, report: int | Non
     whole = wide.select("t1", "t2", F.lit(True).alias("wide"), "start", "last").unionByName(whole.select("t1", "t2", F.lit(False).alias("wide"), "start", "last")) if both else wide.select("t1", "t2", F.lit(True).alias("wide"), "start", "last")
     mixed = staged(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeat-mixed-seeds")
     need = staged(contexts.join(mixed.hint("merge"), "g").select("g", "m", "at.*"), "repeat-mixed")
-    total = need.count()
-    if not total:
+    if need.isEmpty():
         return whole
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,22 +330,20 @@ def repeat_starts(docs: DataFrame, text_col: str, length: int, report: int | Non
                     rows += [(t1, t2, False, start + i, start + j) for i, j in _runs(short)]
             yield _batch(SPANS, rows)
 
-    buckets = max(1, total // BUCKET)
-    normal = cuts.filter(F.col("m") <= MAX_GROUP).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-    parts = whole.unionByName(by_group(normal.select("bucket", "g", "t1", "t2", "start", "reach", "bytes"), "bucket", sort, SPAN_SCHEMA))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
-        for b in batches:
-            for g, t1, t2, start, reach, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for width in dict.fromkeys((report, length)):
-                    h = roller.hashes(np.frombuffer(raw, np.uint8), width)[: reach + 1]
-                    n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(h.view(np.int64)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.full(n, width == length)), pa.array(start + np.arange(n))], ["g", "h", "t1", "t2", "wide", "start"])
-
-    each = cuts.filter(F.col("m") > MAX_GROUP).select("g", "t1", "t2", "start", "reach", "bytes").transform(mapped, strings, "g long, h long, t1 long, t2 long, wide boolean, start long").distinct()
-    twice = each.groupBy("g", "h", "wide").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", "h", "wide")
-    return parts.unionByName(each.join(twice, ["g", "h", "wide"]).select("t1", "t2", "wide", "start", F.col("start").alias("last")))
+    parts, small = whole, cuts.filter(F.col("m") <= MAX_GROUP)
+    for step in STEPS:
+        large = cuts.filter(F.col("m") > MAX_GROUP)
+        if large.isEmpty():
+            break
+        spans, cuts = cut_blocks(large, step, report, length)
+        parts = parts.unionByName(spans)
+        if cuts is None:
+            break
+        cuts = staged(cuts, "repeat-block-bytes")
+        small = small.unionByName(cuts.filter(F.col("m") <= MAX_GROUP))
+    buckets = max(1, small.count() // BUCKET)
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+    return parts.unionByName(by_group(small.select("bucket", "g", "t1", "t2", "start", "reach", "bytes"), "bucket", sort, SPAN_SCHEMA))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_text: bool = False, report: int | None = None) -> DataFrame:

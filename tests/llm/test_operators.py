@@ -111,7 +111,7 @@ def test_components(spark):
     assert got == {n: c for n, c in comp.items() if n in got} and all(comp[n] == n for n in comp.keys() - got.keys())
 
 
-@pytest.mark.parametrize("largest", [1500, 3])
+@pytest.mark.parametrize("largest", [1500, 3, 1])
 def test_suffixes(spark, monkeypatch, largest):
     monkeypatch.setattr(suffixes, "MAX_GROUP", largest)
     rng = random.Random(3)
