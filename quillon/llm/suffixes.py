@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import discard, mapped, staged, table
 from quillon.llm.grouped import by_group
 
-SEED, MAX_GROUP, BUCKET, SEGMENT = 80, 1500, 2048, 1 << 21
+SEED, MAX_GROUP, BUCKET, SEGMENT = 80, 1500, 512, 1 << 21
 #: Starts of a block in groups that are too large, and in what is too large still.
 STEPS = (32, 4, 1)
 #: Passages of over 50 words, of four letters and a space or so, have this many bytes at least.
@@ -92,32 +92,60 @@ def anchors(data: np.ndarray, length: int, roller: Roller) -> Iterator[tuple[int
         yield from zip(seeds[spot[first]].tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
 
 
+#: Symbols, names and places of a bucket have 21 bits, so two of them and a place are one number to sort.
+BITS, LOW = U(21), U((1 << 21) - 1)
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of keys under 2**42 (ties by place), the dense rank from 1 of each, and the number of ranks."""
+    both = np.sort(key << BITS | np.arange(len(key), dtype=np.uint64))
+    order, key = (both & LOW).astype(np.int64), both >> BITS
+    new = np.ones(len(key), np.uint64)
+    new[1:] = key[1:] != key[:-1]
+    np.cumsum(new, out=new)
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = new
+    return order, rank, int(new[-1])
+
+
+def _below(base: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each key the number of values of base under it; both are under 2**42."""
+    both = np.sort(np.concatenate([(base << U(1) | U(1)) << BITS, key << U(22) | np.arange(len(key), dtype=np.uint64)]))
+    of_base = (both >> BITS & U(1)).astype(bool)
+    out = np.empty(len(key), np.int64)
+    out[(both[~of_base] & LOW).astype(np.int64)] = np.cumsum(of_base)[~of_base]
+    return out
+
+
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of s (values from 1 up, under 2**21) by a difference cover; suffixes that agree in their
-    first `depth` symbols may stand in any order."""
-    n, bits = len(s), U(21)
+    """Suffix array of s (values from 1 up; values and length under 2**21) by a difference cover; suffixes that
+    agree in their first `depth` symbols may stand in any order."""
+    n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    x = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.uint64)
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    names, rank_of = np.unique((x[sample] << bits | x[sample + 1]) << bits | x[sample + 2], return_inverse=True)
-    rank_of = rank_of.astype(np.int64) + 1
-    if len(names) < len(sample) and depth > 3:
-        order = suffix_order(rank_of, -(-depth // 3))
-        rank_of = np.empty(len(sample), np.int64)
-        rank_of[order] = np.arange(1, len(sample) + 1)
-    else:
-        order = np.argsort(rank_of, kind="stable")
-    rank = np.zeros(n + 3, np.uint64)
-    rank[sample] = rank_of
-    rest = np.arange(0, n, 3)
-    rest = rest[np.argsort(x[rest] << bits | rank[rest + 1], kind="stable")]
-    sample = sample[order]
-    sample = sample[sample < n]
-    short, long_ = x[rest] << bits | rank[rest + 1], (x[rest] << bits | x[rest + 1]) << bits | rank[rest + 2]
-    before = np.where(sample % 3 == 1, np.searchsorted(short, x[sample] << bits | rank[sample + 1]), np.searchsorted(long_, (x[sample] << bits | x[sample + 1]) << bits | rank[sample + 2]))
-    before = np.maximum.accumulate(before)  # among suffixes that agree in depth symbols the order is free
+    x = np.concatenate([s, np.zeros(6, s.dtype)]).astype(np.uint64)
+    n0, n1, n2 = (n + 2) // 3, (n + 2) // 3, n // 3  # where n is 3k + 1, place n stands among those at 1, so that each at 0 has a next
+    zero = x[0::3], x[1::3], x[2::3], x[3::3], x[4::3]
+    pair = np.concatenate([zero[1][:n1] << BITS | zero[2][:n1], zero[2][:n2] << BITS | zero[3][:n2]])
+    follow = np.concatenate([zero[2][:n1] << BITS | zero[3][:n1], zero[3][:n2] << BITS | zero[4][:n2]])
+    order, name, names = _ranked(pair >> BITS << BITS | _ranked(follow)[1])
+    if names < n1 + n2 and depth > 3:
+        order = suffix_order(name, -(-depth // 3))
+    rank = np.empty(n1 + n2, np.uint64)
+    rank[order] = np.arange(1, n1 + n2 + 1, dtype=np.uint64)
+    at_one, at_two = rank[:n1], np.append(rank[n1:], np.zeros(n1 - n2, np.uint64))
+    key = zero[0][:n0] << BITS | at_one
+    rest = 3 * _ranked(key)[0]
+    by_one = _below(key, zero[1][:n1] << BITS | at_two)
+    # places at 2 are followed by one at 0 and one at 1, places at 0 by one at 1 and one at 2
+    after = np.append(at_one[1:], np.zeros(1, np.uint64))[:n2]
+    tail = _ranked(np.concatenate([zero[1][:n0] << BITS | at_two, zero[3][:n2] << BITS | after]))[1]
+    by_two = _below(zero[0][:n0] << BITS | tail[:n0], zero[2][:n2] << BITS | tail[n0:])
+    before = np.concatenate([by_one, by_two])[order]
+    sample = np.where(order < n1, 3 * order + 1, 3 * (order - n1) + 2)
+    there = sample < n
+    sample = sample[there]
+    before = np.maximum.accumulate(before[there])  # among suffixes that agree in depth symbols the order is free
     out = np.empty(n, np.int64)
     mine = before + np.arange(len(sample))
     out[mine] = sample
